@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,17 +27,38 @@ def local_session(cores: int | str = "*", app: str = "memloom", shuffle_partitio
     return spark
 
 
+def _shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir. Only a session without one, on this machine, gets a folder here."""
+    sc = spark.sparkContext
+    folder = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if folder is None:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="spark-checkpoint-")
+        sc.setCheckpointDir(folder)
+    return folder.rstrip("/")
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Write df into the checkpoint folder and go on from there, so that a lost executor costs no recomputation of the loop so far.
+    """df, written as a table into the shared folder and read from there: a lost executor costs no recomputation of what led to it.
 
-    The folder is the cluster's spark.checkpoint.dir. Only a session without one that runs on this machine gets a folder here.
+    Unlike a checkpoint, the table has its true size, by which Spark chooses the joins that follow (the estimated size of a checkpoint in
+    a loop of joins is a product that grows without bound). The table goes when forget() is called or the driver ends.
     """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        shared = sc.getConf().get("spark.checkpoint.dir", None)
-        if shared is None:
-            if not sc.master.startswith("local"):
-                raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-            shared = tempfile.mkdtemp(prefix="spark-checkpoint-")
-        sc.setCheckpointDir(shared)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = f"{_shared_folder(spark)}/memloom-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._memloom_path = path
+    return out
+
+
+def forget(*cuts: DataFrame) -> None:
+    """Deletes the tables of results of cut() that nothing will read again."""
+    for df in cuts:
+        spark = df.sparkSession
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df._memloom_path)
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
