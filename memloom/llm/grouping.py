@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from memloom.session import cut
+from memloom.session import cut, forget
 
 
 def _ordered(pairs: DataFrame, a: str, b: str) -> DataFrame:
@@ -22,11 +22,12 @@ def _ordered(pairs: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def _collapse(parents: DataFrame) -> DataFrame:
-    """Every vertex x directly under the root of its tree; parents has (x, p), roots with p = x."""
+    """Every vertex x directly under the root of its tree; parents has (x, p), roots with p = x, and is used up."""
     while True:
         up = parents.select(F.col("x").alias("p"), F.col("p").alias("q"))
         doubled = cut(parents.join(up, "p").select("x", F.col("q").alias("p"), (F.col("q") != F.col("p")).alias("moved")))
-        parents = doubled.select("x", "p")
+        forget(parents)
+        parents = doubled
         if doubled.where("moved").isEmpty():
             return parents
 
@@ -34,19 +35,20 @@ def _collapse(parents: DataFrame) -> DataFrame:
 def components(pairs: DataFrame, a: str, b: str) -> DataFrame:
     """Rows (vertex, component) of every vertex in a pair; component is a vertex of the group, the same for all in it."""
     edges = cut(_ordered(pairs, a, b))
-    members = edges.select(F.explode(F.array("a", "b")).alias("vertex")).dropDuplicates().withColumn("component", F.col("vertex"))
-    members = cut(members)
+    members = cut(edges.select(F.explode(F.array("a", "b")).alias("vertex")).dropDuplicates().withColumn("component", F.col("vertex")))
     while not edges.isEmpty():
         ends = edges.select(F.explode(F.array(F.struct(F.col("a").alias("x"), F.col("b").alias("y")), F.struct(F.col("b").alias("x"), F.col("a").alias("y")))).alias("e"), "a", "b")
-        pick = ends.groupBy(F.col("e.x").alias("x")).agg(F.min(F.struct("a", "b", F.col("e.y").alias("y"))).alias("m")).select("x", F.col("m.y").alias("p"))
-        pick = cut(pick)
+        pick = cut(ends.groupBy(F.col("e.x").alias("x")).agg(F.min(F.struct("a", "b", F.col("e.y").alias("y"))).alias("m")).select("x", F.col("m.y").alias("p")))
         back = pick.select(F.col("x").alias("p"), F.col("p").alias("back"))
-        rooted = pick.join(back, "p").select("x", F.when((F.col("back") == F.col("x")) & (F.col("x") < F.col("p")), F.col("x")).otherwise(F.col("p")).alias("p"))
-        roots = _collapse(cut(rooted))
+        rooted = cut(pick.join(back, "p").select("x", F.when((F.col("back") == F.col("x")) & (F.col("x") < F.col("p")), F.col("x")).otherwise(F.col("p")).alias("p")))
+        roots = _collapse(rooted)
         to = roots.select(F.col("x").alias("component"), F.col("p").alias("_to"))
-        members = cut(members.join(to, "component", "left").select("vertex", F.coalesce("_to", "component").alias("component")))
+        moved = cut(members.join(to, "component", "left").select("vertex", F.coalesce("_to", "component").alias("component")))
         left, right = roots.select(F.col("x").alias("a"), F.col("p").alias("_a")), roots.select(F.col("x").alias("b"), F.col("p").alias("_b"))
-        edges = cut(_ordered(edges.join(left, "a").join(right, "b"), "_a", "_b"))
+        fewer = cut(_ordered(edges.join(left, "a").join(right, "b"), "_a", "_b"))
+        forget(pick, roots, members, edges)
+        members, edges = moved, fewer
+    forget(edges)
     return members
 
 
