@@ -12,14 +12,18 @@ tokens never appear, their strings are ordinary text; texts of any length are en
 from __future__ import annotations
 
 import json
+import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # tasks need not have this package installed
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
 #: Words that a task remembers before it starts anew: bounds its memory, changes no result.
 REMEMBERED = 300_000

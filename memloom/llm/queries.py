@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memloom.llm import conversations, encoding, grouping, near_duplicates
+from memloom.llm import contamination, conversations, encoding, grouping, near_duplicates, residue
 from memloom.sources.tables import table
 
 LINKING = ("same_event", "supplements", "updates")
@@ -54,6 +54,26 @@ def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return encoding.encode(table(spark, d, "documents", "doc_id", "text"), "doc_id", "text")
 
 
+def _documents(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents", "doc_id", "text")
+
+
+def _items(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "eval_items", "item_id", "passage")
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return contamination.leaked(_documents(spark, d), "doc_id", "text", _items(spark, d), "item_id", "passage")
+
+
+def p7_reparameterised(spark: SparkSession, d: str) -> DataFrame:
+    return contamination.reparameterised(_documents(spark, d), "doc_id", "text", _items(spark, d), "item_id", "passage")
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return residue.residue(_documents(spark, d), "doc_id", "text")
+
+
 _P3 = r"""
 WITH m AS (
   SELECT *, lower(regexp_replace(role, '^\s+|\s+$', '', 'g')) AS r, coalesce(operation <> 'delete', true) AS live,
@@ -79,7 +99,7 @@ WITH m AS (
 )"""
 _P3_ANY = "broken_sequence OR no_content OR no_user OR unknown_role OR unknown_reply OR missing_answer"
 
-QUERIES = {"p2_found": p2_found, "p2_groups": p2_groups, "p3_found": p3_found, "p3_reasons": p3_reasons, "p3_dialogue": p3_dialogue, "p5_found": p5_found, "p6_ids": p6_ids}
+QUERIES = {"p2_found": p2_found, "p2_groups": p2_groups, "p3_found": p3_found, "p3_reasons": p3_reasons, "p3_dialogue": p3_dialogue, "p5_found": p5_found, "p6_ids": p6_ids, "p7_found": p7_found, "p7_reparameterised": p7_reparameterised, "p8_found": p8_found}
 SQL = {
     "p3_found": _P3 + f" SELECT session_id FROM f WHERE {_P3_ANY}",
     "p3_reasons": _P3 + " SELECT session_id, reason FROM (UNPIVOT f ON broken_sequence, no_content, no_user, unknown_role, unknown_reply, missing_answer INTO NAME reason VALUE yes) WHERE yes",
