@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from memloom.plans import problems
+from memloom.plans import problems, retrieval
 
-MODULES = (problems,)
+MODULES = (problems, retrieval)
 FLAGSHIP = "m06_hybrid_final"
 
 
