@@ -16,3 +16,13 @@ def lead_across(df: DataFrame, keys: list[str], value: Column, order: str, name:
     first = df.groupBy(*keys, "slice").agg(F.min_by(value, F.col(order)).alias("_first"))
     following = first.select(*keys, "slice", F.lead("_first").over(Window.partitionBy(*keys).orderBy("slice")).alias("_after"))
     return df.withColumn("_in", F.lead(value).over(inside)).join(following, [*keys, "slice"]).withColumn(name, F.coalesce("_in", "_after")).drop("_in", "_after")
+
+
+def running_sum(df: DataFrame, keys: list[str], value: Column, order: str, name: str) -> DataFrame:
+    """Adds the sum of value over the earlier rows of the key (not this one), by slices: a window inside a slice, plus what the slices before it sum to."""
+    before = Window.partitionBy(*keys, "slice").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    sums = df.groupBy(*keys, "slice").agg(F.sum(value).alias("_sum"))
+    over = Window.partitionBy(*keys).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select(*keys, "slice", F.coalesce(F.sum("_sum").over(over), F.lit(0)).alias("_off"))
+    x = df.withColumn("_in", F.coalesce(F.sum(value).over(before), F.lit(0))).join(offsets, [*keys, "slice"])
+    return x.withColumn(name, F.col("_in") + F.col("_off")).drop("_in", "_off")

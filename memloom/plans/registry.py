@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from memloom.plans import problems, retrieval
+from memloom.plans import memory, problems, retrieval
 
-MODULES = (problems, retrieval)
+MODULES = (problems, retrieval, memory)
 FLAGSHIP = "m06_hybrid_final"
 
 
