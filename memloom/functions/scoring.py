@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from memloom.functions.text import SPACES
+
 # Words that count as the same in keyword matching.
 SYNONYMS = (("father", "dad"), ("mother", "mom"), ("gift", "present"), ("buy", "purchase"), ("job", "work"), ("trip", "travel"))
 # Weights of the final score.
@@ -74,7 +76,7 @@ def cosine(a: Column, b: Column) -> Column:
 def token_estimate(text: Column) -> Column:
     """Tokens a text is likely to need: a quarter of each ASCII word's letters (rounded up), one per CJK character, one per other
     non-ASCII character, and a half for every character that is neither white space, ASCII word nor CJK."""
-    t = F.trim(F.regexp_replace(text, r"\s+", " "))
+    t = F.trim(F.regexp_replace(text, SPACES, " "))
     count = lambda pattern: F.length(F.regexp_replace(t, pattern, ""))
     ascii_words = F.aggregate(F.regexp_extract_all(t, F.lit("[A-Za-z0-9_]+"), F.lit(0)), F.lit(0.0), lambda s, w: s + F.ceil(F.length(w) / 4))
     cjk = count("[^㐀-鿿豈-﫿]")

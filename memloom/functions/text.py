@@ -6,6 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 WORD = r"[\p{L}\p{N}]+"
+#: Runs of white space of any script, in the syntax that both Java and RE2 read.
+SPACES = r"[\s\x{0B}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]+"
 
 
 def words(text: Column) -> Column:
@@ -20,4 +22,4 @@ def word_set(text: Column) -> Column:
 
 def squash(text: Column) -> Column:
     """Lower case, white space collapsed to one blank, trimmed."""
-    return F.trim(F.regexp_replace(F.lower(text), r"\s+", " "))
+    return F.trim(F.regexp_replace(F.lower(text), SPACES, " "))

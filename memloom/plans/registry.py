@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from memloom.plans import memory, problems, retrieval
+from memloom.plans import memory, problems, retrieval, streams, texts
 
-MODULES = (problems, retrieval, memory)
+MODULES = (problems, retrieval, memory, texts, streams)
 FLAGSHIP = "m06_hybrid_final"
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from memloom.functions import scoring as sc
-from memloom.functions.text import squash
+from memloom.functions.text import SPACES, squash
 from memloom.operators import retrieval as r
 from memloom.sources.tables import table
 
@@ -176,7 +176,7 @@ def _rank(rel: str, key: str, k: int, extra: str = "") -> str:
 
 _LISTS = f"WITH {_keyword_sql(_DOCS, 'doc_id')}, {_BM}, k1 AS ({_rank('kw', 'doc_id', COARSE)}), b1 AS ({_rank('bm', 'doc_id', COARSE)})"
 _RRF = _LISTS + ", rf AS (SELECT query_id, doc_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS rrf FROM (SELECT * FROM k1 UNION ALL SELECT * FROM b1) GROUP BY 1, 2)"
-_SQUASH = r"trim(regexp_replace(lower(text), '\s+', ' ', 'g'))"
+_SQUASH = f"trim(regexp_replace(lower(text), '{SPACES}', ' ', 'g'), ' ')"
 _COS = """
 WITH v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings), s AS (
   SELECT a.vec_id AS query_id, b.vec_id, a.label AS la, b.label AS lb, round(list_cosine_similarity(a.e, b.e), 5) AS score FROM v a, v b WHERE a.vec_id % 100 = 0)"""
