@@ -36,7 +36,7 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p1_estimated(spark: SparkSession, d: str) -> DataFrame:
     """Local times without any zone, under the zone history estimated for their principal or session."""
-    x = ts.estimate(once(written_times(spark, d)), "entity", "arrived").where("how = 'estimated'")
+    x = ts.estimate(once(written_times(spark, d).where("status = 'no_zone'")), "entity", "arrived").where("how = 'estimated'")
     return x.select("record_id", "zone_estimate", "instant_us")
 
 
