@@ -44,3 +44,32 @@ def last_cutoff(at: Column, zone: str, hour: int = 23) -> Column:
     local = F.from_utc_timestamp(at, zone)
     shift = F.make_interval(hours=F.lit(hour))
     return F.to_utc_timestamp(F.date_trunc("day", local - shift) + shift, zone)
+
+
+def relative_days(text: Column, reference: Column) -> Column:
+    """The [first, end) days (as dates) that an English time expression names, seen from the reference date; null if it names none.
+
+    today, yesterday, tomorrow, the days beside them, this/last/next week (Monday first), last/this/next weekday, and "N days/weeks/months ago".
+    """
+    t, d = F.lower(text), F.to_date(reference)
+    monday = F.to_date(F.date_trunc("week", d))
+    span = lambda a, b: F.struct(a.alias("first"), b.alias("end"))
+    day = lambda n: span(F.date_add(d, n), F.date_add(d, n + 1))
+    week = lambda n: span(F.date_add(monday, 7 * n), F.date_add(monday, 7 * n + 7))
+    number = F.array_position(F.array(*map(F.lit, ("sunday", "monday", "tuesday", "wednesday", "thursday", "friday", "saturday"))), F.regexp_extract(t, r"\b(?:last|this|next) (\w+day)\b", 1)).cast("int")
+    diff = F.pmod(F.dayofweek(d) - number, F.lit(7))
+    shift = F.when(t.rlike(r"\blast \w+day\b"), F.when(diff == 0, -7).otherwise(-diff)).when(t.rlike(r"\bthis \w+day\b"), -diff).when(t.rlike(r"\bnext \w+day\b"), 7 - diff)
+    ago = F.regexp_extract(t, r"\b(\d+) (?:day|week|month)s? ago\b", 1).try_cast("int")
+    back = F.when(t.rlike(r"\d days? ago"), F.date_add(d, -ago)).when(t.rlike(r"\d weeks? ago"), F.date_add(d, -7 * ago)).when(t.rlike(r"\d months? ago"), F.add_months(d, -ago))
+    return (
+        F.when(t.rlike(r"\bday before yesterday\b"), day(-2))
+        .when(t.rlike(r"\byesterday\b"), day(-1))
+        .when(t.rlike(r"\btoday\b"), day(0))
+        .when(t.rlike(r"\bday after tomorrow\b"), day(2))
+        .when(t.rlike(r"\btomorrow\b"), day(1))
+        .when(t.rlike(r"\blast week\b"), week(-1))
+        .when(t.rlike(r"\bthis week\b"), week(0))
+        .when(t.rlike(r"\bnext week\b"), week(1))
+        .when(number > 0, span(F.date_add(d, shift), F.date_add(d, shift + 1)))
+        .when(back.isNotNull(), span(back, F.date_add(back, 1)))
+    )

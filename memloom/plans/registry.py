@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from memloom.plans import memory, problems, retrieval, streams, texts
+from memloom.plans import analysis, memory, problems, retrieval, streams, texts
 
-MODULES = (problems, retrieval, memory, texts, streams)
+MODULES = (problems, retrieval, memory, texts, analysis, streams)
 FLAGSHIP = "m06_hybrid_final"
 
 
