@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from memloom.operators import intervals as iv
 from memloom.operators import timestamps as ts
+from memloom.session import cut
 from memloom.sources.tables import table
 
 AXES = {"valid": ("valid_time_start", "valid_time_end"), "evidence": ("evidence_time_start", "evidence_time_end")}
@@ -36,7 +37,8 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p1_estimated(spark: SparkSession, d: str) -> DataFrame:
     """Local times without any zone, under the zone history estimated for their principal or session."""
-    x = ts.estimate(once(written_times(spark, d).where("status = 'no_zone'")), "entity", "arrived").where("how = 'estimated'")
+    open_ = cut(once(written_times(spark, d).where("status = 'no_zone'")))  # read twice: for the votes and for the instants
+    x = ts.estimate(open_, "entity", "arrived").where("how = 'estimated'")
     return x.select("record_id", "zone_estimate", "instant_us")
 
 
