@@ -76,10 +76,14 @@ def cosine(a: Column, b: Column) -> Column:
 def token_estimate(text: Column) -> Column:
     """Tokens a text is likely to need: a quarter of each ASCII word's letters (rounded up), one per CJK character, one per other
     non-ASCII character, and a half for every character that is neither white space, ASCII word nor CJK."""
-    t = F.trim(F.regexp_replace(text, SPACES, " "))
-    count = lambda pattern: F.length(F.regexp_replace(t, pattern, ""))
-    ascii_words = F.aggregate(F.regexp_extract_all(t, F.lit("[A-Za-z0-9_]+"), F.lit(0)), F.lit(0.0), lambda s, w: s + F.ceil(F.length(w) / 4))
-    cjk = count("[^㐀-鿿豈-﫿]")
-    other = count("[\\x00-\\x7F㐀-鿿豈-﫿]")
-    marks = count("[\\sA-Za-z0-9_㐀-鿿豈-﫿]")
-    return F.when(t == "", 0).otherwise(F.greatest(F.lit(1), F.ceil(ascii_words + cjk + other + marks * 0.5))).cast("int")
+
+    def cost(t: Column) -> Column:
+        count = lambda pattern: F.length(F.regexp_replace(t, pattern, ""))
+        ascii_words = F.aggregate(F.regexp_extract_all(t, F.lit("[A-Za-z0-9_]+"), F.lit(0)), F.lit(0.0), lambda s, w: s + F.ceil(F.length(w) / 4))
+        cjk = count("[^\\x{3400}-\\x{9fff}\\x{f900}-\\x{faff}]+")
+        other = count("[\\x00-\\x7F\\x{3400}-\\x{9fff}\\x{f900}-\\x{faff}]+")
+        marks = count("[\\sA-Za-z0-9_\\x{3400}-\\x{9fff}\\x{f900}-\\x{faff}]+")
+        return F.when(t == "", 0).otherwise(F.greatest(F.lit(1), F.ceil(ascii_words + cjk + other + marks * 0.5)))
+
+    # White space is put in order once, however often the cost looks at the text.
+    return F.transform(F.array(F.trim(F.regexp_replace(text, SPACES, " "))), cost)[0].cast("int")

@@ -139,7 +139,9 @@ def ranked(df: DataFrame, by: str, order: list[Column], k: int | None = None, na
 
 def content_key(text: Column, key: Column) -> Column:
     """Rows with the same text up to case and white space share it; rows without any text stand alone."""
-    return F.when(F.coalesce(squash(text), F.lit("")) == "", F.concat(F.lit("id:"), key.cast("string"))).otherwise(F.sha2(squash(text), 256))
+    own = F.concat(F.lit("id:"), key.cast("string"))
+    # The squashed text is computed once, for the test and for the digest.
+    return F.coalesce(F.transform(F.array(squash(text)), lambda s: F.when(s != "", F.sha2(s, 256)))[0], own)
 
 
 def ranking_metrics(results: DataFrame, gold: DataFrame, ks: list[int]) -> DataFrame:

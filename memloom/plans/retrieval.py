@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from memloom.functions import scoring as sc
 from memloom.functions.text import SPACES, squash
 from memloom.operators import retrieval as r
+from memloom.session import cut
 from memloom.sources.tables import table
 
 K = 10
@@ -55,7 +56,7 @@ def w03_m04_rrf(spark: SparkSession, d: str) -> DataFrame:
 
 def m06_hybrid_final(spark: SparkSession, d: str) -> DataFrame:
     """Hybrid search: coarse lists, fusion, final score with recency and term overlap, one result per content, best 10."""
-    lists = [_keyword(spark, d, COARSE), _bm25(spark, d, COARSE)]
+    lists = [cut(_keyword(spark, d, COARSE)), cut(_bm25(spark, d, COARSE))]  # a hundred rows for each query, read more than once
     fused = r.fuse(lists, "doc_id").join(lists[0].select("query_id", "doc_id", F.col("score").alias("keyword")), ["query_id", "doc_id"], "left")
     docs = table(spark, d, "documents", "doc_id", "text", "created_at")
     asked = _asked(spark, d).select(F.col("item_id").alias("query_id"), F.array_distinct(sc.tokens(F.col("query"))).alias("_q"))
