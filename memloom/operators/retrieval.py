@@ -110,6 +110,22 @@ def bm25_top(df: DataFrame, key: str, text: str, queries: DataFrame, query_key:
     return best_in_blocks(df.select(key, sc.tokens(F.col(text)).alias("_t")), key, kind, ids, queries.schema[query_key].dataType.simpleString(), score, k, above=0.0)
 
 
+def coverage_top(df: DataFrame, key: str, text: str, queries: DataFrame, query_key: str, query_text: str, k: int) -> DataFrame:
+    """Rows (query_id, key, score, rank) by the share of a query's distinct tokens that a row holds."""
+    ids, asked, words = _vocabulary(queries, query_key, query_text)
+    at = {w: i for i, w in enumerate(words)}
+    share = np.zeros((len(words), len(ids)))
+    for q, t in enumerate(asked):
+        for w in t:
+            share[at[w], q] = 1 / len(t)
+
+    def score(batch: pd.DataFrame) -> np.ndarray:
+        return _incidence(batch["_t"], at, False) @ share
+
+    rows = df.select(key, F.array_distinct(sc.tokens(F.col(text))).alias("_t"))
+    return best_in_blocks(rows, key, df.schema[key].dataType.simpleString(), ids, queries.schema[query_key].dataType.simpleString(), score, k, above=0.0)
+
+
 def vector_top(df: DataFrame, key: str, vector: str, queries: DataFrame, query_key: str, query_vector: str, k: int, digits: int = 5) -> DataFrame:
     """Rows (query_id, key, score, rank): exact cosine of every row against every query, in blocks of matrix products."""
     rows = collect_queries(queries.select(F.col(query_key).alias("q"), F.col(query_vector).cast("array<double>").alias("v")).where("v IS NOT NULL")).sort_values("q")
