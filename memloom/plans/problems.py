@@ -14,9 +14,12 @@ AXES = {"valid": ("valid_time_start", "valid_time_end"), "evidence": ("evidence_
 
 
 def written_times(spark: SparkSession, d: str) -> DataFrame:
-    """Every written time of events and messages: (record_id, entity, arrived, written, instant_us, how, status), a row for each delivery."""
-    events = ts.read_times(table(spark, d, "memory_events", "event_id", "event_time", "source_timezone", "principal_id", "created_at"), "event_time")
-    events = events.select(F.col("event_id").alias("record_id"), "written", F.col("source_timezone").alias("zone"), F.col("principal_id").alias("entity"), F.col("created_at").alias("arrived"))
+    """Every written time of events and messages: (record_id, entity, arrived, written, instant_us, how, status), a row for each delivery.
+
+    entity is what keeps one zone history: the session of a message, but the single event, as sources and principals mix zones row by row.
+    """
+    events = ts.read_times(table(spark, d, "memory_events", "event_id", "event_time", "source_timezone", "created_at"), "event_time")
+    events = events.select(F.col("event_id").alias("record_id"), "written", F.col("source_timezone").alias("zone"), F.col("event_id").alias("entity"), F.col("created_at").alias("arrived"))
     sessions = table(spark, d, "conversation_sessions", "session_id", "timezone", "locale")
     messages = table(spark, d, "conversation_messages", "conversation_message_row_id", "session_id", "created_at", "stored_at")
     messages = ts.read_times(messages.join(sessions, "session_id", "left"), "created_at", "locale")
@@ -36,7 +39,7 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_estimated(spark: SparkSession, d: str) -> DataFrame:
-    """Local times without any zone, under the zone history estimated for their principal or session."""
+    """Local times without any zone, under the zone history estimated for the event or session."""
     open_ = cut(once(written_times(spark, d).where("status = 'no_zone'")))  # read twice: for the votes and for the instants
     x = ts.estimate(open_, "entity", "arrived").where("how = 'estimated'")
     return x.select("record_id", "zone_estimate", "instant_us")

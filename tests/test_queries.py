@@ -59,3 +59,16 @@ def test_entry(spark):
 def test_runs(spark, name):
     df = sound(registry.queries()[name](spark, DATA))
     assert df.columns and df.count() >= 0
+
+
+def test_estimated_zones_where_the_zone_is_known(spark):
+    from pyspark.sql import functions as F
+
+    from memloom.operators import timestamps as ts
+    from memloom.plans import problems
+
+    known = problems.once(problems.written_times(spark, DATA).where("status = 'ok' AND how = 'record'")).withColumnRenamed("instant_us", "true_us")
+    hidden = known.withColumn("status", F.lit("no_zone")).withColumn("how", F.lit(None).cast("string")).withColumn("instant_us", F.lit(None).cast("bigint"))
+    x = ts.estimate(hidden, "entity", "arrived").where("how = 'estimated'").select((F.col("instant_us") == F.col("true_us")).cast("int").alias("right"))
+    r = x.agg(F.count("*").alias("n"), F.avg("right").alias("share")).first()
+    assert r.n > 0.8 * hidden.count() and r.share > 0.97
