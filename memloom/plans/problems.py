@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from memloom.operators import intervals as iv
 from memloom.operators import timestamps as ts
 from memloom.session import cut
-from memloom.sources.tables import table
+from memloom.sources.tables import spread, table
 
 AXES = {"valid": ("valid_time_start", "valid_time_end"), "evidence": ("evidence_time_start", "evidence_time_end")}
 
@@ -18,10 +18,10 @@ def written_times(spark: SparkSession, d: str) -> DataFrame:
 
     entity is what keeps one zone history: the session of a message, but the single event, as sources and principals mix zones row by row.
     """
-    events = ts.read_times(table(spark, d, "memory_events", "event_id", "event_time", "source_timezone", "created_at"), "event_time")
+    events = ts.read_times(spread(table(spark, d, "memory_events", "event_id", "event_time", "source_timezone", "created_at")), "event_time")
     events = events.select(F.col("event_id").alias("record_id"), "written", F.col("source_timezone").alias("zone"), F.col("event_id").alias("entity"), F.col("created_at").alias("arrived"))
     sessions = table(spark, d, "conversation_sessions", "session_id", "timezone", "locale")
-    messages = table(spark, d, "conversation_messages", "conversation_message_row_id", "session_id", "created_at", "stored_at")
+    messages = spread(table(spark, d, "conversation_messages", "conversation_message_row_id", "session_id", "created_at", "stored_at"))
     messages = ts.read_times(messages.join(sessions, "session_id", "left"), "created_at", "locale")
     messages = messages.select(F.col("conversation_message_row_id").alias("record_id"), "written", F.col("timezone").alias("zone"), F.col("session_id").alias("entity"), F.col("stored_at").alias("arrived"))
     return ts.resolve(events.unionByName(messages), "zone").drop("zone")

@@ -9,7 +9,7 @@ from memloom.functions import scoring as sc
 from memloom.functions.text import SPACES, squash
 from memloom.operators import retrieval as r
 from memloom.session import cut
-from memloom.sources.tables import table
+from memloom.sources.tables import spread, table
 
 K = 10
 COARSE = 100
@@ -17,7 +17,7 @@ KS = [1, 5, 10]
 
 
 def _docs(spark, d):
-    return table(spark, d, "documents", "doc_id", "text")
+    return spread(table(spark, d, "documents", "doc_id", "text"))
 
 
 def _asked(spark, d):
@@ -111,7 +111,7 @@ def u05_dedup_content(spark: SparkSession, d: str) -> DataFrame:
 
 def u08_best_per_content(spark: SparkSession, d: str) -> DataFrame:
     """Per content: the longest document (ties: smallest id), how many share it, and their sources."""
-    x = table(spark, d, "documents", "doc_id", "text", "source", "n_chars").where("text IS NOT NULL")
+    x = spread(table(spark, d, "documents", "doc_id", "text", "source", "n_chars").where("text IS NOT NULL"))
     x = x.withColumn("content", F.sha2(squash(F.col("text")), 256))
     best = F.min_by("doc_id", F.struct(-F.col("n_chars"), "doc_id"))
     g = x.groupBy("content").agg(best.alias("doc_id"), F.count("*").alias("copies"), F.concat_ws(",", F.array_sort(F.collect_set("source"))).alias("sources"))

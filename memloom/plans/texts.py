@@ -13,14 +13,14 @@ from memloom.operators.packing import select_within_budget
 from memloom.plans import retrieval as r
 from memloom.session import cut
 from memloom.sources import formats
-from memloom.sources.tables import table
+from memloom.sources.tables import spread, table
 
 BUDGET = 2000
 ARTICLES = ("a", "an", "the", "and")
 
 
 def _docs(spark, d, *more):
-    return table(spark, d, "documents", "doc_id", "text", *more)
+    return spread(table(spark, d, "documents", "doc_id", "text", *more))
 
 
 def t01_normalised(spark: SparkSession, d: str) -> DataFrame:
