@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from memloom.llm import contamination, conversations, encoding, grouping, near_duplicates, residue
-from memloom.sources.tables import table
+from memloom.sources.tables import spread, table
 
 LINKING = ("same_event", "supplements", "updates")
 SIMILAR = 0.75
@@ -51,11 +51,11 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
-    return encoding.encode(table(spark, d, "documents", "doc_id", "text"), "doc_id", "text")
+    return encoding.encode(_documents(spark, d), "doc_id", "text")
 
 
 def _documents(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents", "doc_id", "text")
+    return spread(table(spark, d, "documents", "doc_id", "text"))
 
 
 def _items(spark: SparkSession, d: str) -> DataFrame:
