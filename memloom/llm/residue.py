@@ -62,7 +62,7 @@ _CLEAR = (
     rf"\{{\{{\s*({_NAME})\s*(?:\|[^{{}}\n]{{0,40}})?\}}\}}|@@({_NAME}?)@@|<%=?\s*({_NAME})\s*%>|\[(?:INSERT|insert)\s+({_NAME})\s+(?:HERE|here)\]"
     rf"|\[TODO:\s*({_NAME})\]|<YOUR_({_NAME})>|\$\{{({_NAME})\}}|\{{!({_NAME})!\}}"
 )
-_OPENER = r"[\[{<%@$«【&_\\(]"
+_OPENER = r"[\[{<%@$«【&_\\(]|[#|~]\w"
 
 
 def bodies_of(text: Column) -> Column:
@@ -185,16 +185,24 @@ def slot_pattern(names: list[str]) -> str:
     shapes = [
         rf"\[+(?:[A-Z:]{{3,12}}\s+|请?填写)?{one}(?:\s{filler})?\]+(?!\()", rf"\\?\{{[{{!%#]?\s*{one}\s*[:|]?[^{{}}\n]{{0,24}}\\?\}}", rf"<{{1,2}}(?:YOUR_)?{one}(?:\s{filler})?>{{1,2}}",
         rf"&lt;{one}(?:\s{filler})?&gt;", rf"«\s*{one}\s*»", rf"【[^【】\n]{{0,8}}{one}[^【】\n]{{0,8}}】", rf"__{one}__", rf"\$+{one}\$+", rf"%{one}%", rf"%\({one}\)[sd]?", rf"@{{1,2}}{one}@{{1,2}}",
-        rf"\({one}:?\s*_{{3,}}\)",
+        # Between # | ~ also *|name|*, but neither cells of tables nor ~~struck out~~.
+        rf"\({one}:?\s*_{{3,}}\)", rf"#{one}#", rf"(?<![\w|])\|{one}\|(?![\w|])", rf"(?<![\w~])~{one}~(?![\w~])",
     ]
     return f"(?i)(?={_OPENER})(?:{_CLEAR}|" + "|".join(shapes) + ")"
 
 
+def blank_pattern(names: list[str]) -> str:
+    """A pattern of blanks to be filled in after one of the names."""
+    return r"(?i)\b(?:" + "|".join(re.escape(n) for n in sorted(names, key=lambda n: (-len(n), n))) + r"):?\s*_{4,}" if names else r"\b\B"
+
+
 def unfilled(df: DataFrame, key: str, text: str) -> DataFrame:
     """Rows (key,) of texts with an unfilled slot outside code."""
-    pattern = slot_pattern(slot_names(df, text))
+    names = slot_names(df, text)
+    pattern, blank = slot_pattern(names), blank_pattern(names)
+    holds = lambda x: x.rlike(pattern) | (x.contains("____") & x.rlike(blank))
     # Most texts fail the first test, and most others the second, before code is taken out.
-    found = F.when(F.col(text).rlike(pattern), F.regexp_replace(F.col(text), _CODE, " ").rlike(pattern))
+    found = F.when(holds(F.col(text)), holds(F.regexp_replace(F.col(text), _CODE, " ")))
     return df.where(F.when(F.col(text).rlike(_OPENER), found)).select(key)
 
 

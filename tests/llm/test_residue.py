@@ -37,3 +37,15 @@ def test_empty_table(spark):
     assert rs.residue(df, "doc_id", "text").count() == 0
     df = spark.createDataFrame([(1, None), (2, "")], "doc_id bigint, text string")
     assert rs.residue(df, "doc_id", "text").count() == 0
+
+
+def found(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    return [texts[r.doc_id] for r in rs.unfilled(df, "doc_id", "text").orderBy("doc_id").collect()]
+
+
+def test_hashes_pipes_tildes_and_blank_runs(spark):
+    clear = ["Dear {{user_name}}, thanks.", "Hello {{user_name}} and {{owner}}.", "Ask {{owner}}.", "To {{COMPANY}}.", "By {{COMPANY}}."]
+    slots = ["Dear #user_name#, thanks.", "Owner: ______", "Owner ____ signs.", "Sold to |COMPANY|, Berlin", "Ask ~owner~ again.", "Dear *|COMPANY|*,"]
+    fine = ["# owner\\n\\nWell.", "|owner|company|\\n|---|---|\\n|Anna|x|", "~~owner~~ Anna", "The owner _ or __ or `Owner: ____`.", "Sum: ______", "Tag #owner is set."]
+    assert found(spark, clear + slots + fine) == clear + slots
