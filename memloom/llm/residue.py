@@ -1,8 +1,8 @@
 """Problem 8: filler, error pages, script notices and unfilled templates, found by positive-unlabelled naive Bayes.
 
 A text is split into the bodies of its sections and these into passages. Bodies that begin with a well-known phrase (TRUSTED) are the trusted
-records; all other passages are unlabelled. Expectation-maximization refines which unlabelled passages are residue, with the
-trusted ones fixed, and gives each word a weight. Every passage of the corpus is then scored in its task; a body is residue if it has a residue passage and no
+records; all other passages are unlabelled. Expectation-maximization over all passages of the corpus refines which unlabelled ones are
+residue, with the trusted ones fixed, and gives each word a weight. Every passage of the corpus is then scored in its task; a body is residue if it has a residue passage and no
 ordinary one, and a text is if one of its bodies is. Mentions of such phrases lose against the ordinary words around them.
 
 Unfilled slots are learned the same way: names in unmistakable slots ({{x}}, <%= x %>, @@x@@, ...) are trusted, and whatever stands
@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import re
 import sys
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,22 +25,23 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from memloom.session import cut, forget
+
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # tasks need not have this package installed
 
 BUCKETS = 1 << 20
-#: Bounds of the sample that the classifier is fitted on: documents whose trusted bodies are taken, and documents whose passages the beliefs are estimated on.
-TRUSTED_BODIES, SAMPLED_DOCUMENTS = 20_000, 4_000
 #: Log odds that a passage must have to be taken for residue.
 PRIOR = 2.0
 #: Passages of either kind that the weights of names are smoothed for.
 NAMED = 4_000
-#: Weight of a sampled passage against a trusted one in expectation-maximization; keeps beliefs from feeding on themselves.
+#: Weight of an unlabelled passage against a trusted one in expectation-maximization; keeps beliefs from feeding on themselves.
 SHARE = 0.1
 #: Least score of a passage in a body that begins with a trusted phrase.
 DOUBT = -3.0
 #: Most names of slots that are learned.
 SLOT_NAMES = 1_000
 ROUNDS = 4
+SUMS = ("n", "small", "other", "yes")
 
 # How well-known filler, error messages and script notices begin, in lower case.
 TRUSTED = (
@@ -92,57 +94,89 @@ def features_of(passage: Column) -> Column:
     return F.array_distinct(F.transform(_tokens(F.lower(passage)), _bucket))
 
 
-def fit(
-    trusted: list[list[int]], sample: list[list[int]], counts: np.ndarray, named: np.ndarray, n: int, rounds: int = ROUNDS, least: int = 3, clip: float = 5.0
-) -> np.ndarray:
-    """Weights of the buckets, log P(w | residue) / P(w | other), by expectation-maximization.
+def codes_of(passage: Column) -> Column:
+    """Twice the buckets of the distinct words, plus one for a spelling that is not small; sorted."""
+    return F.sort_array(F.array_distinct(F.transform(_tokens(passage), lambda w: 2 * _bucket(F.lower(w)) + (w != F.lower(w)).cast("int"))))
 
-    counts holds in how many of all n passages of the corpus each bucket occurs, trusted ones included; named marks buckets that are hardly
-    ever written small; sample are passages that are not trusted, whose belief moves from round to round. Buckets in fewer than least
-    passages weigh nothing.
-    """
-    rows = trusted + sample
-    size = np.fromiter(map(len, rows), np.int64, len(rows))
-    word = np.fromiter((w for r in rows for w in r), np.int64, size.sum())
-    row = np.repeat(np.arange(len(rows)), size)
-    fixed = np.arange(len(rows)) < len(trusted)
-    belief, weight = fixed.astype(float), np.where(fixed, 1.0, SHARE)
-    rate, weights = counts / max(n, 1), np.zeros(BUCKETS)
-    for _ in range(rounds):
-        mass = belief * weight
-        yes = np.bincount(word, mass[row], BUCKETS)
-        no = np.maximum(counts - yes, 0)
-        # Smoothing towards the rate of the whole corpus: a word that residue never holds speaks against it, however rare it is.
-        p, q = (yes + rate) / (mass.sum() + 1), (no + rate) / (max(n - mass.sum(), 0) + 1)
-        strong = np.log(np.maximum(p, 1e-12) / np.maximum(q, 1e-12))
-        # Names come and go in texts of either kind: only a name that residue holds often says something.
-        weak = np.log((NAMED * yes / max(mass.sum(), NAMED / 10) + 1) / (NAMED * no / max(n - mass.sum(), 1) + 1))
-        weights = np.where(counts >= least, np.clip(np.where(named, weak, strong), -clip, clip), 0.0)
-        score = np.bincount(row, weights[word], len(rows))
-        belief = np.where(fixed, 1.0, 1 / (1 + np.exp(-np.clip(score - PRIOR, -30, 30))))
-    return weights
 
+def _sums(groups: DataFrame, weights: np.ndarray | None) -> DataFrame:
+    """Rows (b, n, small, other, yes): by bucket the passages, those that write it small and those that do not, and the mass of residue; -1 has the totals.
 
-def learn(df: DataFrame, key: str, text: str) -> np.ndarray:
-    """The weights of BUCKETS words. The counts cover all passages; trusted and sampled rows are bounded by TRUSTED_BODIES and SAMPLED_DOCUMENTS."""
-    bodies = df.where(F.col(text).isNotNull()).select(F.xxhash64(key).alias("h"), F.explode(bodies_of(F.col(text))).alias("body"))
-    documents = max(df.count(), 1)
-    within = lambda bound: F.pmod("h", F.lit(1_000_000)) < F.lit(int(min(1.0, bound / documents) * 1_000_000))
-    begins = trusted_body(F.col("body"))
-    picked = bodies.where((within(TRUSTED_BODIES) & begins) | within(SAMPLED_DOCUMENTS)).select(begins.alias("t"), F.transform(passages_of(F.col("body")), features_of).alias("f"))
-    trusted, sample = [], []
-    for r in picked.limit(8 * TRUSTED_BODIES).toLocalIterator():
-        (trusted if r.t else sample).extend(p for p in r.f if p)
-    # Occurrences by passage and spelling, first of words, then of buckets; those not written small under odd numbers. The empty word counts passages.
-    each = bodies.select(F.explode(passages_of(F.col("body"))).alias("p")).select(F.explode(F.concat(F.array(F.lit("")), F.array_distinct(_tokens(F.col("p"))))).alias("w"))
-    spelled = each.groupBy("w").agg(F.count("*").alias("n"))
-    number = F.when(F.col("w") == "", -1).otherwise(2 * _bucket(F.lower("w")) + (F.col("w") != F.lower("w")).cast("int"))
-    found = {r.b: r.n for r in spelled.groupBy(number.alias("b")).agg(F.sum("n").alias("n")).collect()}
-    n = found.pop(-1, 0)
-    both = np.zeros(2 * BUCKETS)
-    both[list(found)] = list(found.values())
-    counts, named = both[0::2] + both[1::2], both[0::2] < 0.1 * both[1::2]
-    return fit(trusted, sample, counts, named, n)
+    groups has the distinct passages (t, c, n): whether trusted, codes, how often. Without weights only trusted passages are residue.
+    """
+    model = None if weights is None else groups.sparkSession.sparkContext.broadcast(weights)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums, totals = np.zeros((4, BUCKETS)), np.zeros(4)
+        for batch in batches:
+            fixed = batch.column(0).to_numpy(zero_copy_only=False)
+            lists = batch.column(1)
+            code = lists.flatten().to_numpy(zero_copy_only=False)
+            size = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+            n = batch.column(2).to_numpy(zero_copy_only=False).astype(float)
+            row = np.repeat(np.arange(len(size)), size)
+            word = code >> 1
+            once = np.ones(len(word), bool)  # a word that a passage spells in two ways is one feature
+            once[1:] = (word[1:] != word[:-1]) | (row[1:] != row[:-1])
+            if model is None:
+                mass = np.where(fixed, n, 0.0)
+                np.add.at(sums[0], word[once], n[row[once]])
+                for other in (0, 1):
+                    np.add.at(sums[1 + other], word[code % 2 == other], n[row[code % 2 == other]])
+            else:
+                score = np.bincount(row[once], model.value[word[once]], len(size))
+                mass = np.where(fixed, n, SHARE * n / (1 + np.exp(-np.clip(score - PRIOR, -30, 30))))
+            mass[size == 0] = 0.0
+            np.add.at(sums[3], word[once], mass[row[once]])
+            totals += n.sum(), 0, 0, mass.sum()
+        some = np.flatnonzero(sums.any(0))
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1), pa.int32()), *(pa.array(np.append(s[some], t)) for s, t in zip(sums, totals, strict=True))], names=["b", *SUMS])
+
+    return groups.select("t", "c", "n").mapInArrow(run, "b int, n double, small double, other double, yes double").groupBy("b").agg(*(F.sum(c).alias(c) for c in SUMS))
+
+
+def _dense(sums: DataFrame, *names: str) -> list[tuple[np.ndarray, float]]:
+    """By name the sums of all buckets, and the total."""
+    found = sums.select("b", *names).toArrow()
+    b = found["b"].to_numpy()
+    out = []
+    for name in names:
+        dense = np.zeros(BUCKETS + 1)
+        dense[b] = found[name].to_numpy()  # -1 is the last
+        out.append((dense[:-1], float(dense[-1])))
+    return out
+
+
+def weigh(yes: np.ndarray, mass: float, counts: np.ndarray, named: np.ndarray, n: float, least: int = 3, clip: float = 5.0) -> np.ndarray:
+    """Weights of the buckets, log P(w | residue) / P(w | other).
+
+    yes holds the mass of residue that has each bucket, counts in how many of all n passages it occurs; named marks buckets that are hardly
+    ever written small. Buckets in fewer than least passages weigh nothing.
+    """
+    rate, no = counts / max(n, 1), np.maximum(counts - yes, 0)
+    # Smoothing towards the rate of the whole corpus: a word that residue never holds speaks against it, however rare it is.
+    p, q = (yes + rate) / (mass + 1), (no + rate) / (max(n - mass, 0) + 1)
+    strong = np.log(np.maximum(p, 1e-12) / np.maximum(q, 1e-12))
+    # Names come and go in texts of either kind: only a name that residue holds often says something.
+    weak = np.log((NAMED * yes / max(mass, NAMED / 10) + 1) / (NAMED * no / max(n - mass, 1) + 1))
+    return np.where(counts >= least, np.clip(np.where(named, weak, strong), -clip, clip), 0.0)
+
+
+def learn(df: DataFrame, key: str, text: str, rounds: int = ROUNDS) -> np.ndarray:
+    """The weights of BUCKETS words by expectation-maximization over all passages of the corpus; equal ones are one row with a count."""
+    bodies = df.where(F.col(text).isNotNull()).select(F.explode(bodies_of(F.col(text))).alias("body"))
+    each = bodies.select(trusted_body(F.col("body")).alias("t"), F.explode(passages_of(F.col("body"))).alias("p"))
+    groups = cut(each.select("t", codes_of(F.col("p")).alias("c")).groupBy("t", "c").agg(F.count("*").alias("n")))
+    try:
+        (counts, n), (small, _), (other, _), (yes, mass) = _dense(_sums(groups, None), *SUMS)
+        named = small < 0.1 * other
+        weights = weigh(yes, mass, counts, named, n)
+        for _ in range(rounds - 1):
+            [(yes, mass)] = _dense(_sums(groups, weights), "yes")
+            weights = weigh(yes, mass, counts, named, n)
+    finally:
+        forget(groups)
+    return weights
 
 
 def residue_bodies(df: DataFrame, key: str, text: str, weights: np.ndarray) -> DataFrame:

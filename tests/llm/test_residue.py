@@ -49,3 +49,13 @@ def test_hashes_pipes_tildes_and_blank_runs(spark):
     slots = ["Dear #user_name#, thanks.", "Owner: ______", "Owner ____ signs.", "Sold to |COMPANY|, Berlin", "Ask ~owner~ again.", "Dear *|COMPANY|*,"]
     fine = ["# owner\\n\\nWell.", "|owner|company|\\n|---|---|\\n|Anna|x|", "~~owner~~ Anna", "The owner _ or __ or `Owner: ____`.", "Sum: ______", "Tag #owner is set."]
     assert found(spark, clear + slots + fine) == clear + slots
+
+
+def test_a_rare_family_of_a_large_corpus_counts_whole(spark):
+    """What ties zonk to trusted words are some 15 of 60,000 texts, none of which a sample by the hash of the key holds."""
+    kind = "CASE WHEN id % 300 = 0 THEN 1 WHEN id % 2500 = 1 AND pmod(xxhash64(id), 1000000) > 400000 THEN 2 WHEN id % 5000 = 2 THEN 3 ELSE 0 END AS kind"
+    text = """CASE kind WHEN 1 THEN 'Lorem ipsum dolor sit amet.' WHEN 2 THEN 'zonk dolor sit amet.' WHEN 3 THEN 'zonk.'
+              ELSE concat('the old garden of Anna keeps ', char(97 + id % 26), char(97 + id % 23), 'x.') END AS text"""
+    df = spark.range(60_000).selectExpr("id", kind).selectExpr("id AS doc_id", "kind", text)
+    got = {r.doc_id for r in rs.residue_bodies(df, "doc_id", "text", rs.learn(df, "doc_id", "text")).collect()}
+    assert got == {r.doc_id for r in df.where("kind > 0").collect()}
