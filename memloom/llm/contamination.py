@@ -142,8 +142,13 @@ def matches(corpus: DataFrame, key: str, text: str, items: DataFrame, item: str,
 def leaked(corpus: DataFrame, key: str, text: str, items: DataFrame, item: str, passage: str, size: int = SIZE) -> DataFrame:
     """Rows (key, item): the texts that hold size consecutive words of a passage, or all words of a shorter one."""
     same = matches(corpus, key, text, items, item, passage, size).where("words = passage_words").select(key, "passage_id").dropDuplicates()
+    return _by_item(same, items, item, passage).select(key, item).dropDuplicates()
+
+
+def _by_item(found: DataFrame, items: DataFrame, item: str, passage: str) -> DataFrame:
+    """found with a row for each item that has the passage of passage_id."""
     texts = items.where(F.col(passage).isNotNull()).groupBy(F.col(passage).alias("_p")).agg(F.min(item).alias("passage_id"), F.collect_set(item).alias("_items"))
-    return same.join(texts, "passage_id").select(key, F.explode("_items").alias(item)).dropDuplicates()
+    return found.join(texts.drop("_p"), "passage_id").withColumn(item, F.explode("_items")).drop("_items")
 
 
 def reparameterised(corpus: DataFrame, key: str, text: str, items: DataFrame, item: str, passage: str, size: int = SIZE, literal: int = 6) -> DataFrame:
@@ -156,4 +161,5 @@ def reparameterised(corpus: DataFrame, key: str, text: str, items: DataFrame, it
     theirs, ours = F.transform("slots", lambda i: F.get("passage_words", i)), F.transform("slots", lambda i: F.get("words", i))
     pairs = F.array_distinct(F.arrays_zip(theirs.alias("a"), ours.alias("b")))
     one_for_one = (F.size(pairs) == F.size(F.array_distinct(theirs))) & (F.size(pairs) == F.size(F.array_distinct(ours)))
-    return x.where(one_for_one).groupBy(key, F.col("passage_id").alias(item)).agg(F.count("*").alias("windows"))
+    found = x.where(one_for_one).groupBy(key, "passage_id").agg(F.count("*").alias("windows"))
+    return _by_item(found, items, item, passage).select(key, item, "windows")

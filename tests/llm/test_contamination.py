@@ -56,3 +56,11 @@ def test_exchanged_numbers_and_units(spark):
     evals = spark.createDataFrame([(1, p)], "item_id bigint, passage string")
     got = {r.doc_id: r.windows for r in co.reparameterised(corpus, "doc_id", "text", evals, "item_id", "passage").collect()}
     assert set(got) == {1, 2} and got[1] == 7 and got[2] < 7  # of the mixed one only windows with one of the two values
+
+
+def test_items_that_share_an_exchanged_passage_all_count(spark):
+    p = "The tank of Marvin loses 12 litres in 3 hours and is refilled by 12 pumps every 3 days"
+    corpus = spark.createDataFrame([(1, p.replace("12", "40")), (2, p)], "doc_id bigint, text string")
+    evals = spark.createDataFrame([(5, p), (7, p), (9, None)], "item_id bigint, passage string")
+    got = co.reparameterised(corpus, "doc_id", "text", evals, "item_id", "passage")
+    assert got.columns == ["doc_id", "item_id", "windows"] and {(r.doc_id, r.item_id) for r in got.collect()} == {(1, 5), (1, 7)}
