@@ -14,7 +14,6 @@ are used whole; an empty table gives an empty result; extra columns are ignored.
 
 from __future__ import annotations
 
-import re
 import sys
 from collections.abc import Iterator
 
@@ -38,8 +37,6 @@ NAMED = 4_000
 SHARE = 0.1
 #: Least score of a passage in a body that begins with a trusted phrase.
 DOUBT = -3.0
-#: Most names of slots that are learned.
-SLOT_NAMES = 1_000
 ROUNDS = 4
 SUMS = ("n", "small", "other", "yes")
 
@@ -59,12 +56,21 @@ _BEGINS = r"(?iU)^\s*(?:" + "|".join(TRUSTED) + ")"
 _HEADING = r"(?m)^(?:#{1,6}[ \t]+.*|==+[ \t]*\S.*|<[hH][1-6]>[^<\r\n]*(?:</[hH][1-6]>)?[ \t]*)$"
 _PASSAGE = r"(?<=[.!?])\s+|[\r\n]+|(?<=[。！？])"
 _CODE = r"(?ms)```(?!context-session).*?(?:```|\z)|^~~~.*?(?:^~~~|\z)|`[^`\n]+`|^(?: {4}|\t)[^\n]*$"
-_NAME = r"[A-Za-z][\w.]{0,40}"
+_NAME = r"\p{L}[\p{L}\p{M}\p{N}_.-]{0,80}"
 _CLEAR = (
     rf"\{{\{{\s*({_NAME})\s*(?:\|[^{{}}\n]{{0,40}})?\}}\}}|@@({_NAME}?)@@|<%=?\s*({_NAME})\s*%>|\[(?:INSERT|insert)\s+({_NAME})\s+(?:HERE|here)\]"
     rf"|\[TODO:\s*({_NAME})\]|<YOUR_({_NAME})>|\$\{{({_NAME})\}}|\{{!({_NAME})!\}}"
 )
-_OPENER = r"[\[{<%@$«【&_\\(]|[#|~]\w"
+_OPENER = r"[\[{<%@$«【&_\\(]|[#|~][\w\p{L}]"
+_FILLER = r"[^\[\]{}<>«»【】\n]{0,24}"
+# All other shapes; the last one holds those that hold no others. Between # | ~ also *|name|*, but neither cells of tables nor ~~struck out~~.
+_SHAPES = (
+    rf"\[+(?:[A-Z:]{{3,12}}\s+|请?填写)?{_NAME}(?:\s{_FILLER})?\]+(?!\()", rf"\{{[{{!%#]?\s*{_NAME}\s*[:|]?[^{{}}\n]{{0,24}}\}}", rf"<{{1,2}}{_NAME}(?:\s{_FILLER})?>", rf"&lt;{_NAME}(?:\s{_FILLER})?&gt;",
+    r"【[^【】\n]+】", rf"__{_NAME}__",
+    rf"«\s*{_NAME}\s*»|\$+{_NAME}(?=\$)|%{_NAME}(?=%)|%\({_NAME}\)|@{{1,2}}{_NAME}(?=@)|\({_NAME}[:：]?\s*_{{3,}}\)"
+    rf"|#{_NAME}(?=#)|(?<![\w|])\|{_NAME}(?=\|(?![\w|]))|(?<![\w~])~{_NAME}(?=~(?![\w~]))",
+)
+_BLANK = rf"(?<![\p{{L}}\p{{M}}\p{{N}}_.-]){_NAME}?[:：]?\s*_{{4,}}"
 
 
 def bodies_of(text: Column) -> Column:
@@ -201,43 +207,50 @@ def residue_bodies(df: DataFrame, key: str, text: str, weights: np.ndarray) -> D
     return scored.where(by_trust | (F.forall("_s", lambda s: s >= 0) & F.exists("_s", lambda s: s > PRIOR))).select(key)
 
 
-def slot_names(df: DataFrame, text: str) -> list[str]:
-    """The names in unmistakable slots of at least two texts, the most frequent first, at most SLOT_NAMES; lower case."""
-    bare = F.regexp_replace(F.col(text), _CODE, " ")
-    x = df.where(F.col(text).rlike(r"(?=[\[{@<$])(?:\{\{|@@|<%|\[INSERT|\[TODO|<YOUR_|\$\{|\{!)")).select(F.explode(F.array_distinct(F.regexp_extract_all(bare, F.lit(_CLEAR), F.lit(0)))).alias("slot"))
-    name = F.lower(F.regexp_replace("slot", _CLEAR, "$1$2$3$4$5$6$7$8"))
-    found = x.groupBy(name.alias("name")).agg(F.count("*").alias("n")).where("n >= 2").orderBy(F.desc("n"), "name").limit(SLOT_NAMES)
-    return [r.name for r in found.collect()]
-
-
-def slot_pattern(names: list[str]) -> str:
-    """A pattern of unmistakable slots with any name, and of all shapes of slots with one of the names."""
-    if not names:
-        return f"(?={_OPENER})(?:{_CLEAR})"
-    one = "(?:" + "|".join(re.escape(n) for n in sorted(names, key=lambda n: (-len(n), n))) + ")"
-    filler = r"[^\[\]{}<>«»【】\n]{0,24}"
-    shapes = [
-        rf"\[+(?:[A-Z:]{{3,12}}\s+|请?填写)?{one}(?:\s{filler})?\]+(?!\()", rf"\\?\{{[{{!%#]?\s*{one}\s*[:|]?[^{{}}\n]{{0,24}}\\?\}}", rf"<{{1,2}}(?:YOUR_)?{one}(?:\s{filler})?>{{1,2}}",
-        rf"&lt;{one}(?:\s{filler})?&gt;", rf"«\s*{one}\s*»", rf"【[^【】\n]{{0,8}}{one}[^【】\n]{{0,8}}】", rf"__{one}__", rf"\$+{one}\$+", rf"%{one}%", rf"%\({one}\)[sd]?", rf"@{{1,2}}{one}@{{1,2}}",
-        # Between # | ~ also *|name|*, but neither cells of tables nor ~~struck out~~.
-        rf"\({one}:?\s*_{{3,}}\)", rf"#{one}#", rf"(?<![\w|])\|{one}\|(?![\w|])", rf"(?<![\w~])~{one}~(?![\w~])",
-    ]
-    return f"(?i)(?={_OPENER})(?:{_CLEAR}|" + "|".join(shapes) + ")"
-
-
-def blank_pattern(names: list[str]) -> str:
-    """A pattern of blanks to be filled in after one of the names."""
-    return r"(?i)\b(?:" + "|".join(re.escape(n) for n in sorted(names, key=lambda n: (-len(n), n))) + r"):?\s*_{4,}" if names else r"\b\B"
+def names_in(slot: Column) -> Column:
+    """All names, in lower case, that a slot of any shape can be read as: of {owner.first} also owner, of [insert owner] also insert."""
+    body = F.regexp_replace(slot, r"(?i)^(?:&lt;|[^\p{L}])+", "")
+    run = F.regexp_extract(body, f"^{_NAME}", 0)
+    bare = F.regexp_replace(run, r"_+$", "")
+    to = lambda n: F.sequence(F.lit(1), n)
+    # Where one may end inside a run of letters: not within a word or number, but anywhere in Han text.
+    inside = r"[\p{L}&&[^\p{IsHan}]]{2}|\p{N}{2}"
+    starts = F.filter(to(F.length(run)), lambda i: (F.length(body) - i <= 27) & ~F.substring(run, i, F.lit(2)).rlike(f"^(?:{inside})"))
+    none = F.array().cast("array<string>")
+    inner = F.regexp_replace(slot, "^【|】$", "")
+    at = lambda i, j: F.substring(F.concat(F.lit(" "), inner, F.lit(" ")), i + 1, F.length(inner) - i - j + 3)  # with a character on each side
+    framed = F.flatten(F.transform(to(F.lit(9)), lambda i: F.transform(to(F.lit(9)), lambda j: at(i - 1, j - 1))))
+    whole = lambda x: x.rlike(f"(?s)^.{_NAME}.$") & ~x.rlike(rf"(?s)^(?:{inside})|(?:{inside})$")
+    blank = F.regexp_replace(body, r"[:：]?\s*_+\)?$", "")
+    found = F.concat(
+        F.array(run, bare),
+        F.when(slot.startswith("["), F.array(F.regexp_extract(body, rf"^[A-Za-z:]{{3,12}}\s+({_NAME})(?=[\s\]])", 1), F.regexp_extract(body, f"^请?填写({_NAME})", 1))).otherwise(none),
+        F.when(slot.startswith("<"), F.array(F.regexp_replace(run, "(?i)^YOUR_", ""))).otherwise(none),
+        F.when(slot.startswith("{"), F.transform(starts, lambda i: F.substring(run, F.lit(1), i))).otherwise(none),
+        F.when(slot.startswith("__"), F.split(bare, "__")).otherwise(none),
+        F.when(slot.startswith("【"), F.transform(F.filter(framed, whole), lambda x: F.substring(x, F.lit(2), F.length(x) - 2))).otherwise(none),
+        F.when(slot.rlike(r"___\)?$"), F.array(blank, F.regexp_extract(blank, r"[^.-]+$", 0))).otherwise(none),
+    )
+    return F.array_distinct(F.filter(F.transform(found, F.lower), lambda n: n != ""))
+
+
+def slots_of(text: Column) -> Column:
+    """Whatever stands outside code in the shape of a slot, with any name; shapes that may hold others are looked for one by one."""
+    holds = lambda x: x.rlike(f"(?i)(?={_OPENER})(?:" + "|".join((_CLEAR, *_SHAPES)) + ")") | (x.contains("____") & x.rlike(_BLANK))
+    bare = F.regexp_replace(text, _CODE, " ")
+    found = F.concat(*(F.regexp_extract_all(bare, F.lit(f"(?i)(?:{p})"), F.lit(0)) for p in (_CLEAR, *_SHAPES)), F.when(bare.contains("____"), F.regexp_extract_all(bare, F.lit(_BLANK), F.lit(0))).otherwise(F.array().cast("array<string>")))
+    # Most texts fail the first test, and most others the second, before code is taken out.
+    return F.when(text.rlike(_OPENER), F.when(holds(text), F.array_distinct(found)))
 
 
 def unfilled(df: DataFrame, key: str, text: str) -> DataFrame:
-    """Rows (key,) of texts with an unfilled slot outside code."""
-    names = slot_names(df, text)
-    pattern, blank = slot_pattern(names), blank_pattern(names)
-    holds = lambda x: x.rlike(pattern) | (x.contains("____") & x.rlike(blank))
-    # Most texts fail the first test, and most others the second, before code is taken out.
-    found = F.when(holds(F.col(text)), holds(F.regexp_replace(F.col(text), _CODE, " ")))
-    return df.where(F.when(F.col(text).rlike(_OPENER), found)).select(key)
+    """Rows (key,) of texts with an unfilled slot outside code: an unmistakable one, or one whose name is in unmistakable ones of two texts."""
+    slots = cut(df.select(F.col(key), F.explode(slots_of(F.col(text))).alias("_slot")))
+    clear = slots.where(F.col("_slot").rlike(f"(?i)^(?:{_CLEAR})$"))
+    name = F.lower(F.regexp_replace("_slot", f"(?i)^(?:{_CLEAR})$", "$1$2$3$4$5$6$7$8"))
+    known = clear.select(key, name.alias("_name")).dropDuplicates().groupBy("_name").agg(F.count("*").alias("_n")).where("_n >= 2").select("_name")
+    named = slots.select(key, F.explode(names_in(F.col("_slot"))).alias("_name")).dropDuplicates()
+    return clear.select(key).unionByName(named.join(known, "_name", "left_semi").select(key)).dropDuplicates()
 
 
 def residue(df: DataFrame, key: str, text: str) -> DataFrame:

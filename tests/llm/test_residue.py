@@ -59,3 +59,11 @@ def test_a_rare_family_of_a_large_corpus_counts_whole(spark):
     df = spark.range(60_000).selectExpr("id", kind).selectExpr("id AS doc_id", "kind", text)
     got = {r.doc_id for r in rs.residue_bodies(df, "doc_id", "text", rs.learn(df, "doc_id", "text")).collect()}
     assert got == {r.doc_id for r in df.where("kind > 0").collect()}
+
+
+def test_many_names_and_names_of_any_script(spark):
+    many = [f"Dear {{{{{a}{i}x}}}}, hello." for i in range(1_100) for a in ("name", "name")]
+    clear = ["Liebe {{first-name}}!", "An {{first-name}}.", "你好，{{姓名}}。", "致 {{姓名}}：", "Only {{größe}} once."]
+    slots = ["Dear [name7x], hi.", "Dear %name1099x%, hi.", "By <name500x>.", "Für [first-name] da.", "【请填写姓名】", "[请填写姓名]", "姓名：____", "{姓名:先生}", "[see %name9x% now]", "__name8x__", "To &LT;NAME3X&GT;."]
+    fine = ["See [größe] there.", "A [name] of {name7xyz}.", "【姓】", "first-nameless ____"]
+    assert sorted(set(found(spark, many + clear + slots + fine))) == sorted({*many, *clear, *slots})
