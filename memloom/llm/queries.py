@@ -71,7 +71,7 @@ def p7_reparameterised(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
-    return residue.residue(_documents(spark, d), "doc_id", "text")
+    return residue.residue(table(spark, d, "documents", "doc_id", "text"), "doc_id", "text")
 
 
 _P3 = r"""

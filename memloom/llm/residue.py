@@ -1,15 +1,18 @@
 """Problem 8: filler, error pages, script notices and unfilled templates, found by positive-unlabelled naive Bayes.
 
-A text is split into the bodies of its sections and these into passages. Bodies that begin with a well-known phrase (TRUSTED) are the trusted
-records; all other passages are unlabelled. Expectation-maximization over all passages of the corpus refines which unlabelled ones are
-residue, with the trusted ones fixed, and gives each word a weight. Every passage of the corpus is then scored in its task; a body is residue if it has a residue passage and no
-ordinary one, and a text is if one of its bodies is. Mentions of such phrases lose against the ordinary words around them.
+evidence  One scan of the corpus. A text without its code is split into the bodies of its sections and these into passages; a passage is the
+          set of its words. Whatever stands in the shape of a slot is a passage too, once for each name that it can be read with.
+learn     Bodies that begin with one of a few well-known phrases (TRUSTED) and slots of an unmistakable shape ({{x}}, <%= x %>, @@x@@, ...)
+          are the trusted records; everything else is unlabelled. Expectation-maximization over all of it refines which unlabelled ones are
+          residue, with the trusted ones fixed, and gives each word and each name its weight.
+residue   Every passage is scored. A body is residue if it has a residue passage and no ordinary one, a slot if its score says so, and a text
+          if one of its bodies or slots is. Trust decides nothing here: without weights nothing is found. Mentions of such phrases lose
+          against the ordinary words around them.
 
-Unfilled slots are learned the same way: names in unmistakable slots ({{x}}, <%= x %>, @@x@@, ...) are trusted, and whatever stands
-with such a name between brackets, percent signs or the like is a slot as well. Code (fenced, inline, indented) does not count.
+The phrases need not be complete: families of residue that share bodies or words with trusted ones get their weights from these.
 
 Defined results: null, empty and blank texts are no cases; a text without any word is none either; repeated texts are judged alike; texts
-are used whole; an empty table gives an empty result; extra columns are ignored.
+are used whole; code (fenced, inline, indented) does not count; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,29 +31,29 @@ from memloom.session import cut, forget
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # tasks need not have this package installed
 
-BUCKETS = 1 << 20
-#: Log odds that a passage must have to be taken for residue.
-PRIOR = 2.0
-#: Passages of either kind that the weights of names are smoothed for.
-NAMED = 4_000
-#: Weight of an unlabelled passage against a trusted one in expectation-maximization; keeps beliefs from feeding on themselves.
-SHARE = 0.1
-#: Least score of a passage in a body that begins with a trusted phrase.
-DOUBT = -3.0
-ROUNDS = 4
-SUMS = ("n", "small", "other", "yes")
-
-# How well-known filler, error messages and script notices begin, in lower case.
+#: Buckets of words; names of slots have as many again.
+BUCKETS = 1 << 21
+#: The bucket that says that a slot has an unmistakable shape; no name has it.
+UNMISTAKABLE = 2 * BUCKETS
+SIZE = UNMISTAKABLE + 1
+#: Least score of the residue passage that a body must have, and of all its passages.
+SURE, ORDINARY = 2.0, -2.0
+#: Least score of a slot: about two unmistakable slots with its name, whatever the number of others.
+SLOT = 0.4
+#: Share of the passages, of residue and of the rest, that every word is taken to have besides its own: rare words weigh little.
+RATE = 0.0007
+#: Longest body that a phrase at its beginning makes a trusted one; longer ones are unlabelled and scored like all others.
+TRUSTED_LENGTH = 600
+CLIP = 6.0
+ROUNDS = 7
+
+# How some well-known filler, error messages and script notices begin, in lower case.
 TRUSTED = (
-    r"lorem ipsum", r"dolor (sit )?amet", r"text goes here", r"placeholder", r"sample (body )?(copy|text)", r"coming soon", r"todo: write", r"to be (added|written|announced)",
-    r"foo bar", r"asdf", r"xxx+ xxx", r"blindtext", r"hier steht später", r"platzhalter", r"texte provisoire", r"contenu à venir", r"texto de (relleno|ejemplo)", r"próximamente",
-    r"此处填写", r"占位", r"示例文本", r"敬请期待",
-    r"(http )?(error )?[45]\d\d\b", r"(http|error|erreur|fehler|código)( \d+)?\s*[:-]", r"internal server error", r"bad gateway", r"(page|file) not found", r"access denied", r"forbidden",
-    r"oops", r"something went wrong", r"we couldn't find", r"this (content|page) is no longer", r"your session has expired", r"too many requests", r"service \S+ is down", r"domain \S+ is parked",
-    r"checking your browser", r"upstream connect error", r"traceback \(most recent", r"java\.lang\.", r"\w*error: ", r"enoent", r"\{\s*\"error\"", r"<html><head><title>\d+ error",
-    r"seite nicht gefunden", r"erreur \d+", r"error de conexi", r"página no encontrada", r"页面不存在", r"错误",
-    r"(please )?enable (javascript|scripts)", r"you need to enable javascript", r"javascript is (disabled|required|off)", r"it looks like scripts", r"this site requires (scripts|javascript)",
-    r"<noscript>", r"\S+ requires a browser with", r"bitte aktivieren sie javascript", r"veuillez activer javascript", r"active javascript", r"请启用 ?javascript",
+    r"lorem ipsum", r"text goes here", r"placeholder", r"coming soon", r"todo: write", r"hier steht später", r"platzhalter", r"contenu à venir", r"texto de (relleno|ejemplo)",
+    r"próximamente", r"此处填写", r"敬请期待",
+    r"(error )?404 not found", r"50\d (bad gateway|internal server error|service unavailable)", r"internal server error", r"page not found", r"access denied", r"seite nicht gefunden",
+    r"erreur \d+", r"página no encontrada", r"页面不存在",
+    r"(please )?enable javascript", r"javascript is (disabled|required)", r"bitte aktivieren sie javascript", r"veuillez activer javascript", r"active javascript", r"请启用 ?javascript",
 )
 _BEGINS = r"(?iU)^\s*(?:" + "|".join(TRUSTED) + ")"
 _HEADING = r"(?m)^(?:#{1,6}[ \t]+.*|==+[ \t]*\S.*|<[hH][1-6]>[^<\r\n]*(?:</[hH][1-6]>)?[ \t]*)$"
@@ -83,128 +86,17 @@ def passages_of(body: Column) -> Column:
 
 
 def trusted_body(body: Column) -> Column:
-    return (F.length(body) <= 600) & body.rlike(_BEGINS)
+    return (F.length(body) <= TRUSTED_LENGTH) & body.rlike(_BEGINS)
 
 
-def _tokens(passage: Column) -> Column:
-    """Words without digits; Han text by pairs of characters."""
-    return F.regexp_extract_all(passage, F.lit(r"[\p{L}&&[^\p{IsHan}]]+|\p{IsHan}{1,2}"), F.lit(0))
-
-
-def _bucket(token: Column) -> Column:
-    return F.pmod(F.xxhash64(token), F.lit(BUCKETS)).cast("int")
+def _bucket(token: Column, first: int = 0) -> Column:
+    return (F.pmod(F.xxhash64(token), F.lit(BUCKETS)) + first).cast("int")
 
 
 def features_of(passage: Column) -> Column:
-    """Buckets of the distinct words without case."""
-    return F.array_distinct(F.transform(_tokens(F.lower(passage)), _bucket))
-
-
-def codes_of(passage: Column) -> Column:
-    """Twice the buckets of the distinct words, plus one for a spelling that is not small; sorted."""
-    return F.sort_array(F.array_distinct(F.transform(_tokens(passage), lambda w: 2 * _bucket(F.lower(w)) + (w != F.lower(w)).cast("int"))))
-
-
-def _sums(groups: DataFrame, weights: np.ndarray | None) -> DataFrame:
-    """Rows (b, n, small, other, yes): by bucket the passages, those that write it small and those that do not, and the mass of residue; -1 has the totals.
-
-    groups has the distinct passages (t, c, n): whether trusted, codes, how often. Without weights only trusted passages are residue.
-    """
-    model = None if weights is None else groups.sparkSession.sparkContext.broadcast(weights)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums, totals = np.zeros((4, BUCKETS)), np.zeros(4)
-        for batch in batches:
-            fixed = batch.column(0).to_numpy(zero_copy_only=False)
-            lists = batch.column(1)
-            code = lists.flatten().to_numpy(zero_copy_only=False)
-            size = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
-            n = batch.column(2).to_numpy(zero_copy_only=False).astype(float)
-            row = np.repeat(np.arange(len(size)), size)
-            word = code >> 1
-            once = np.ones(len(word), bool)  # a word that a passage spells in two ways is one feature
-            once[1:] = (word[1:] != word[:-1]) | (row[1:] != row[:-1])
-            if model is None:
-                mass = np.where(fixed, n, 0.0)
-                np.add.at(sums[0], word[once], n[row[once]])
-                for other in (0, 1):
-                    np.add.at(sums[1 + other], word[code % 2 == other], n[row[code % 2 == other]])
-            else:
-                score = np.bincount(row[once], model.value[word[once]], len(size))
-                mass = np.where(fixed, n, SHARE * n / (1 + np.exp(-np.clip(score - PRIOR, -30, 30))))
-            mass[size == 0] = 0.0
-            np.add.at(sums[3], word[once], mass[row[once]])
-            totals += n.sum(), 0, 0, mass.sum()
-        some = np.flatnonzero(sums.any(0))
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1), pa.int32()), *(pa.array(np.append(s[some], t)) for s, t in zip(sums, totals, strict=True))], names=["b", *SUMS])
-
-    return groups.select("t", "c", "n").mapInArrow(run, "b int, n double, small double, other double, yes double").groupBy("b").agg(*(F.sum(c).alias(c) for c in SUMS))
-
-
-def _dense(sums: DataFrame, *names: str) -> list[tuple[np.ndarray, float]]:
-    """By name the sums of all buckets, and the total."""
-    found = sums.select("b", *names).toArrow()
-    b = found["b"].to_numpy()
-    out = []
-    for name in names:
-        dense = np.zeros(BUCKETS + 1)
-        dense[b] = found[name].to_numpy()  # -1 is the last
-        out.append((dense[:-1], float(dense[-1])))
-    return out
-
-
-def weigh(yes: np.ndarray, mass: float, counts: np.ndarray, named: np.ndarray, n: float, least: int = 3, clip: float = 5.0) -> np.ndarray:
-    """Weights of the buckets, log P(w | residue) / P(w | other).
-
-    yes holds the mass of residue that has each bucket, counts in how many of all n passages it occurs; named marks buckets that are hardly
-    ever written small. Buckets in fewer than least passages weigh nothing.
-    """
-    rate, no = counts / max(n, 1), np.maximum(counts - yes, 0)
-    # Smoothing towards the rate of the whole corpus: a word that residue never holds speaks against it, however rare it is.
-    p, q = (yes + rate) / (mass + 1), (no + rate) / (max(n - mass, 0) + 1)
-    strong = np.log(np.maximum(p, 1e-12) / np.maximum(q, 1e-12))
-    # Names come and go in texts of either kind: only a name that residue holds often says something.
-    weak = np.log((NAMED * yes / max(mass, NAMED / 10) + 1) / (NAMED * no / max(n - mass, 1) + 1))
-    return np.where(counts >= least, np.clip(np.where(named, weak, strong), -clip, clip), 0.0)
-
-
-def learn(df: DataFrame, key: str, text: str, rounds: int = ROUNDS) -> np.ndarray:
-    """The weights of BUCKETS words by expectation-maximization over all passages of the corpus; equal ones are one row with a count."""
-    bodies = df.where(F.col(text).isNotNull()).select(F.explode(bodies_of(F.col(text))).alias("body"))
-    each = bodies.select(trusted_body(F.col("body")).alias("t"), F.explode(passages_of(F.col("body"))).alias("p"))
-    groups = cut(each.select("t", codes_of(F.col("p")).alias("c")).groupBy("t", "c").agg(F.count("*").alias("n")))
-    try:
-        (counts, n), (small, _), (other, _), (yes, mass) = _dense(_sums(groups, None), *SUMS)
-        named = small < 0.1 * other
-        weights = weigh(yes, mass, counts, named, n)
-        for _ in range(rounds - 1):
-            [(yes, mass)] = _dense(_sums(groups, weights), "yes")
-            weights = weigh(yes, mass, counts, named, n)
-    finally:
-        forget(groups)
-    return weights
-
-
-def residue_bodies(df: DataFrame, key: str, text: str, weights: np.ndarray) -> DataFrame:
-    """Rows (key,) of texts with a body whose passages are all residue; df is scanned once, without a shuffle."""
-    model = df.sparkSession.sparkContext.broadcast(weights.astype(np.float32))
-
-    @F.arrow_udf("array<double>")
-    def score(bodies: pa.Array) -> pa.Array:
-        passages = bodies.flatten()
-        words = passages.flatten().to_numpy(zero_copy_only=False)
-        size = pc.list_value_length(passages).to_numpy(zero_copy_only=False)
-        ends = np.cumsum(size)
-        total = np.concatenate(([0.0], np.cumsum(model.value[words], dtype=np.float64)))
-        per = total[ends] - total[ends - size]
-        count = pc.list_value_length(bodies).to_numpy(zero_copy_only=False)
-        return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(count))), pa.int32()), pa.array(per))
-
-    x = df.where(F.col(text).isNotNull()).select(F.col(key), F.explode(bodies_of(F.col(text))).alias("_body"))
-    x = x.withColumn("_f", F.transform(passages_of(F.col("_body")), features_of))
-    scored = x.select(key, trusted_body(F.col("_body")).alias("_t"), score("_f").alias("_s"))
-    by_trust = F.col("_t") & F.forall("_s", lambda s: s >= DOUBT)
-    return scored.where(by_trust | (F.forall("_s", lambda s: s >= 0) & F.exists("_s", lambda s: s > PRIOR))).select(key)
+    """Buckets of the distinct words without case; Han text by pairs of characters, numbers by their length."""
+    plain = F.translate(F.lower(passage), "123456789", "0" * 9)
+    return F.array_distinct(F.transform(F.regexp_extract_all(plain, F.lit(r"[\p{L}&&[^\p{IsHan}]]+|\p{IsHan}{1,2}|\p{N}+"), F.lit(0)), _bucket))
 
 
 def names_in(slot: Column) -> Column:
@@ -234,25 +126,120 @@ def names_in(slot: Column) -> Column:
     return F.array_distinct(F.filter(F.transform(found, F.lower), lambda n: n != ""))
 
 
-def slots_of(text: Column) -> Column:
-    """Whatever stands outside code in the shape of a slot, with any name; shapes that may hold others are looked for one by one."""
-    holds = lambda x: x.rlike(f"(?i)(?={_OPENER})(?:" + "|".join((_CLEAR, *_SHAPES)) + ")") | (x.contains("____") & x.rlike(_BLANK))
-    bare = F.regexp_replace(text, _CODE, " ")
-    found = F.concat(*(F.regexp_extract_all(bare, F.lit(f"(?i)(?:{p})"), F.lit(0)) for p in (_CLEAR, *_SHAPES)), F.when(bare.contains("____"), F.regexp_extract_all(bare, F.lit(_BLANK), F.lit(0))).otherwise(F.array().cast("array<string>")))
-    # Most texts fail the first test, and most others the second, before code is taken out.
-    return F.when(text.rlike(_OPENER), F.when(holds(text), F.array_distinct(found)))
+def slots_of(bare: Column) -> Column:
+    """Whatever stands in the shape of a slot, with any name; shapes that may hold others are looked for one by one. bare is a text without code."""
+    none = F.array().cast("array<string>")
+    blank = F.when(bare.contains("____"), F.regexp_extract_all(bare, F.lit(_BLANK), F.lit(0))).otherwise(none)
+    found = F.concat(*(F.regexp_extract_all(bare, F.lit(f"(?i)(?:{p})"), F.lit(0)) for p in (_CLEAR, *_SHAPES)), blank)
+    # Most texts fail the first test, and most others the second.
+    holds = bare.rlike(f"(?i)(?={_OPENER})(?:" + "|".join((_CLEAR, *_SHAPES)) + ")") | (bare.contains("____") & bare.rlike(_BLANK))
+    return F.when(bare.rlike(_OPENER), F.when(holds, F.array_distinct(found)))
+
+
+def without_code(text: Column) -> Column:
+    code = text.contains("`") | text.contains("~~~") | text.rlike(r"(?m)^(?: {4}|\t)")
+    return F.when(code, F.regexp_replace(text, _CODE, " ")).otherwise(text)
+
+
+def evidence(df: DataFrame, key: str, text: str) -> DataFrame:
+    """Rows (key, t, f): for each body of a text, and each reading of its slots, whether it is trusted and the buckets of its passages."""
+    body = lambda b: F.struct(trusted_body(b).alias("t"), F.transform(passages_of(b), features_of).alias("f"))
+    read = lambda name, t: F.struct(F.lit(t).alias("t"), F.array(F.array(_bucket(name, BUCKETS), *([F.lit(UNMISTAKABLE)] if t else []))).alias("f"))
+    clear = f"(?i)^(?:{_CLEAR})$"
+    name = lambda s: F.lower(F.regexp_replace(s, clear, "$1$2$3$4$5$6$7$8"))
+    trusted = F.transform(F.filter("_slots", lambda s: s.rlike(clear)), name)
+    others = F.array_distinct(F.flatten(F.transform(F.filter("_slots", lambda s: ~s.rlike(clear)), names_in)))
+    slots = F.concat(F.transform(F.array_distinct(trusted), lambda n: read(n, True)), F.transform(F.array_except(others, trusted), lambda n: read(n, False)))
+    none = F.array().cast("array<struct<t:boolean,f:array<array<int>>>>")
+    x = df.where(F.col(text).isNotNull()).select(F.col(key), without_code(F.col(text)).alias("_bare")).withColumn("_slots", slots_of(F.col("_bare")))
+    each = F.concat(F.transform(bodies_of(F.col("_bare")), body), F.when(F.col("_slots").isNotNull(), slots).otherwise(none))
+    return x.select(key, F.explode(each).alias("_e")).select(key, "_e.t", "_e.f").where(F.size("f") > 0)
+
+
+def _scored(lists: pa.Array, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a batch of bodies: the words, the passage of each word, the body of each passage, by body the best and the least score, whether it is a slot."""
+    passages = lists.flatten()
+    words = passages.flatten().to_numpy(zero_copy_only=False)
+    size = pc.list_value_length(passages).to_numpy(zero_copy_only=False)
+    count = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+    row, body = np.repeat(np.arange(len(size)), size), np.repeat(np.arange(len(count)), count)
+    score = np.bincount(row, weights[words], len(size))
+    first = np.cumsum(count) - count
+    slot = words[np.minimum((np.cumsum(size) - size)[first], max(len(words) - 1, 0))] >= BUCKETS if len(words) else np.zeros(len(count), bool)
+    return words, row, body, np.maximum.reduceat(score, first), np.minimum.reduceat(score, first), slot
+
+
+def sums(evidence: DataFrame, weights: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, float, float]:
+    """How many passages hold each bucket, the mass of residue among them, and both of all passages that are no slots.
+
+    Without weights only trusted bodies and slots are residue; with weights an unlabelled one is as far as its scores say so.
+    """
+    model = evidence.sparkSession.sparkContext.broadcast(weights if weights is None else weights.astype(np.float32))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        w = model.value
+        counts, yes, totals = np.zeros(SIZE), np.zeros(SIZE), np.zeros(2)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            fixed = batch.column(0).to_numpy(zero_copy_only=False).astype(bool)
+            words, row, body, best, least, slot = _scored(batch.column(1), np.zeros(SIZE, np.float32) if w is None else w)
+            odds = np.where(slot, best, np.minimum(best - SURE, least - ORDINARY + SURE))
+            mass = np.where(fixed, 1.0, 0.0 if w is None else 1 / (1 + np.exp(-np.clip(odds, -30, 30))))[body]
+            counts += np.bincount(words, minlength=SIZE)
+            yes += np.bincount(words, mass[row], SIZE)
+            text = ~slot[body]
+            totals += text.sum(), mass[text].sum()
+        some = np.flatnonzero(counts)
+        b = pa.array(np.append(some, -1), pa.int32())
+        yield pa.RecordBatch.from_arrays([b, pa.array(np.append(counts[some], totals[0])), pa.array(np.append(yes[some], totals[1]))], names=["b", "n", "yes"])
+
+    found = evidence.select("t", "f").mapInArrow(run, "b int, n double, yes double").groupBy("b").agg(F.sum("n").alias("n"), F.sum("yes").alias("yes")).toArrow()
+    counts, yes, b = np.zeros(SIZE + 1), np.zeros(SIZE + 1), found["b"].to_numpy()
+    counts[b], yes[b] = found["n"].to_numpy(), found["yes"].to_numpy()  # -1 is the last
+    return counts[:-1], yes[:-1], float(counts[-1]), float(yes[-1])
+
+
+def weigh(counts: np.ndarray, yes: np.ndarray, n: float, mass: float) -> np.ndarray:
+    """Weights of all buckets from sums().
+
+    A word weighs log P(w | residue) / P(w | other), drawn to 0 by RATE. A name, and the unmistakable
+    shape, weigh their log odds, the prior included: residue against the rest, with one ordinary slot that nobody saw.
+    """
+    no = np.maximum(counts - yes, 0)
+    words = np.log((yes / max(mass, 1.0) + RATE) / (no / max(n - mass, 1.0) + RATE))
+    names = np.log((yes + 0.1) / (no + 1.0))
+    weights = np.clip(np.concatenate((words[:BUCKETS], names[BUCKETS:])), -CLIP, CLIP)
+    return np.where(counts > 0, weights, 0.0)
+
+
+def learn(evidence: DataFrame, rounds: int = ROUNDS) -> np.ndarray:
+    """The weights of all buckets by expectation-maximization over all passages of the corpus."""
+    weights, taught = None, True
+    for _ in range(rounds):
+        counts, yes, n, mass = sums(evidence, weights)
+        taught = taught and (weights is not None or mass > 0)
+        weights = weigh(counts, yes, n, mass)
+        if not taught:  # no body is trusted: nothing says what residue looks like, and no word may come to mean it by itself
+            weights[:BUCKETS] = -CLIP
+    return weights
+
 
+def decide(evidence: DataFrame, key: str, weights: np.ndarray) -> DataFrame:
+    """Rows (key,) of texts with a body that has a residue passage and no ordinary one, or with a slot that is left unfilled."""
+    model = evidence.sparkSession.sparkContext.broadcast(weights.astype(np.float32))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                _, _, _, best, least, slot = _scored(batch.column(1), model.value)
+                yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(np.where(slot, best > SLOT, (best > SURE) & (least >= ORDINARY))))], names=[key])
 
-def unfilled(df: DataFrame, key: str, text: str) -> DataFrame:
-    """Rows (key,) of texts with an unfilled slot outside code: an unmistakable one, or one whose name is in unmistakable ones of two texts."""
-    slots = cut(df.select(F.col(key), F.explode(slots_of(F.col(text))).alias("_slot")))
-    clear = slots.where(F.col("_slot").rlike(f"(?i)^(?:{_CLEAR})$"))
-    name = F.lower(F.regexp_replace("_slot", f"(?i)^(?:{_CLEAR})$", "$1$2$3$4$5$6$7$8"))
-    known = clear.select(key, name.alias("_name")).dropDuplicates().groupBy("_name").agg(F.count("*").alias("_n")).where("_n >= 2").select("_name")
-    named = slots.select(key, F.explode(names_in(F.col("_slot"))).alias("_name")).dropDuplicates()
-    return clear.select(key).unionByName(named.join(known, "_name", "left_semi").select(key)).dropDuplicates()
+    kind = evidence.schema[key].dataType.simpleString()
+    return evidence.select(key, "f").mapInArrow(run, f"`{key}` {kind}").dropDuplicates()
 
 
 def residue(df: DataFrame, key: str, text: str) -> DataFrame:
     """Rows (key,) of the texts that are residue in whole or in a section, or have an unfilled slot."""
-    return residue_bodies(df, key, text, learn(df, key, text)).unionByName(unfilled(df, key, text)).dropDuplicates()
+    seen = cut(evidence(df, key, text))  # narrow, and all that the rounds and the decision read
+    return decide(seen, key, learn(seen))

@@ -1,5 +1,13 @@
+import os
+import random
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
 from memloom.llm import residue as rs
 
+LARGER = os.environ.get("MEMLOOM_LARGER_DATA", "/root/testdata/sf0.1")
 NAMES = ["Anna", "Bob", "Cora", "Dana", "Emil", "Faro", "Gina", "Hugo"]
 PLAIN = [
     "{a} moved the meeting to the garden because {b} was late.", "Nobody in the office of {a} reads the report about {b}.", "The invoice for week {n} was paid by {a} and {b}.",
@@ -41,7 +49,7 @@ def test_empty_table(spark):
 
 def found(spark, texts):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
-    return [texts[r.doc_id] for r in rs.unfilled(df, "doc_id", "text").orderBy("doc_id").collect()]
+    return [texts[r.doc_id] for r in rs.residue(df, "doc_id", "text").orderBy("doc_id").collect()]
 
 
 def test_hashes_pipes_tildes_and_blank_runs(spark):
@@ -57,8 +65,35 @@ def test_a_rare_family_of_a_large_corpus_counts_whole(spark):
     text = """CASE kind WHEN 1 THEN 'Lorem ipsum dolor sit amet.' WHEN 2 THEN 'zonk dolor sit amet.' WHEN 3 THEN 'zonk.'
               ELSE concat('the old garden of Anna keeps ', char(97 + id % 26), char(97 + id % 23), 'x.') END AS text"""
     df = spark.range(60_000).selectExpr("id", kind).selectExpr("id AS doc_id", "kind", text)
-    got = {r.doc_id for r in rs.residue_bodies(df, "doc_id", "text", rs.learn(df, "doc_id", "text")).collect()}
-    assert got == {r.doc_id for r in df.where("kind > 0").collect()}
+    assert {r.doc_id for r in rs.residue(df, "doc_id", "text").collect()} == {r.doc_id for r in df.where("kind > 0").collect()}
+
+
+def test_the_weights_decide(spark):
+    _, bad, slots, _ = corpus()
+    df = spark.createDataFrame(list(enumerate(bad + slots)), "doc_id bigint, text string")
+    assert rs.decide(rs.evidence(df, "doc_id", "text"), "doc_id", np.zeros(rs.SIZE)).count() == 0
+
+
+def test_weights_do_not_depend_on_the_size_of_the_corpus():
+    counts, yes = np.zeros(rs.SIZE), np.zeros(rs.SIZE)
+    counts[:3], yes[:3] = (20, 500, 9), (20, 4, 0)
+    small, large = rs.weigh(counts, yes, 6_000, 25), rs.weigh(counts * 1e12, yes * 1e12, 6_000e12, 25e12)
+    assert small[0] > 5 and small[1] > 0.5 > small[2] and np.allclose(small, large)
+
+
+@pytest.mark.skipif(not os.path.isdir(LARGER), reason="no test tables here")
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_families_whose_phrases_are_withheld(spark, monkeypatch, seed):
+    """Half of the phrases teach the classifier those of the other half."""
+    df = spark.read.parquet(f"{LARGER}/documents.parquet").select("doc_id", "text")
+    half = random.Random(seed).sample(rs.TRUSTED, len(rs.TRUSTED) // 2)
+    begins = lambda phrases: r"(?iU)^\s*(?:" + "|".join(phrases) + ")"
+    trusted = df.where("text IS NOT NULL").select("doc_id", F.explode(rs.bodies_of(F.col("text"))).alias("b")).where(F.length("b") <= rs.TRUSTED_LENGTH)
+    monkeypatch.setattr(rs, "_BEGINS", begins(half))
+    got = {r.doc_id for r in rs.residue(df, "doc_id", "text").collect()}
+    kept = {r.doc_id for r in trusted.where(F.col("b").rlike(begins(half))).collect()}
+    held = {r.doc_id for r in trusted.where(F.col("b").rlike(begins(rs.TRUSTED))).collect()} - kept
+    assert len(held) > 20 and len(got & held) >= 0.9 * len(held)
 
 
 def test_many_names_and_names_of_any_script(spark):
