@@ -28,14 +28,14 @@ def brute(rows):
 bound = st.one_of(st.none(), st.integers(0, 60))
 
 
-@settings(max_examples=12, deadline=None, suppress_health_check=list(HealthCheck))
+@settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
 @given(st.lists(st.tuples(st.sampled_from("ab"), bound, bound), max_size=40))
 def test_against_brute_force(spark, rows):
     df = spark.createDataFrame(rows, "k string, start_us bigint, end_us bigint")
     periods, gaps = brute(rows)
-    for slice_us in (7, 1_000_000):  # narrow slices: most intervals cross several
-        assert sorted(map(tuple, iv.gaps(df, ["k"], slice_us).collect())) == gaps
-        assert sorted(map(tuple, iv.periods(df, ["k"], slice_us).collect())) == periods
+    for most in (2, 1_000_000):  # few rows a slice: most intervals cross several
+        assert sorted(map(tuple, iv.gaps(df, ["k"], most).collect())) == gaps
+        assert sorted(map(tuple, iv.periods(df, ["k"], most).collect())) == periods
 
 
 def test_axes_nulls_and_touching(spark):
@@ -46,3 +46,13 @@ def test_axes_nulls_and_touching(spark):
     assert [tuple(r) for r in iv.gaps(x, ["entity_id", "axis"]).collect()] == [("e", "valid", 20, 21)]
     assert {tuple(r) for r in iv.periods(x, ["entity_id", "axis"]).collect()} == {("e", "valid", 0, 20), ("e", "valid", 21, 22), ("e", "evidence", 1, 2)}
     assert iv.gaps(x.limit(0), ["entity_id", "axis"]).count() == 0
+
+
+def test_session_windows_and_lead_decide(spark, monkeypatch):
+    """Without the merge of session_window the same steps find gaps inside a period."""
+    df = spark.createDataFrame([("a", 0, 50), ("a", 10, 12), ("a", 20, 60), ("a", 70, 80), (None, 1, 2), (None, 5, 6)], "k string, start_us bigint, end_us bigint")
+    assert [tuple(r) for r in iv.gaps(df, ["k"]).collect()] == [("a", 60, 70)]
+    plan = iv.gaps(df, ["k"])._jdf.queryExecution().executedPlan().toString()
+    assert "lead(" in plan and "session_window" in plan
+    monkeypatch.setattr(iv, "merge_in_slices", lambda x, keys, rows: iv._sliced(x, keys, rows))
+    assert [tuple(r) for r in iv.gaps(df, ["k"]).collect()] != [("a", 60, 70)]
