@@ -23,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import cloudpickle
+from pyspark import Broadcast, cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -156,6 +156,18 @@ def evidence(df: DataFrame, key: str, text: str) -> DataFrame:
     return x.select(key, F.explode(each).alias("_e")).select(key, "_e.t", "_e.f").where(F.size("f") > 0)
 
 
+def _shared(df: DataFrame, weights: np.ndarray) -> Broadcast:
+    """A broadcast of the weights that are not 0, at most SIZE of them."""
+    some = np.flatnonzero(weights)
+    return df.sparkSession.sparkContext.broadcast((some.astype(np.int32), weights[some].astype(np.float32)))
+
+
+def _dense(model: Broadcast) -> np.ndarray:
+    out = np.zeros(SIZE, np.float32)
+    out[model.value[0]] = model.value[1]
+    return out
+
+
 def _scored(lists: pa.Array, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of a batch of bodies: the words, the passage of each word, the body of each passage, by body the best and the least score, whether it is a slot."""
     passages = lists.flatten()
@@ -174,18 +186,18 @@ def sums(evidence: DataFrame, weights: np.ndarray | None) -> tuple[np.ndarray, n
 
     Without weights only trusted bodies and slots are residue; with weights an unlabelled one is as far as its scores say so.
     """
-    model = evidence.sparkSession.sparkContext.broadcast(weights if weights is None else weights.astype(np.float32))
+    first, model = weights is None, _shared(evidence, np.zeros(0) if weights is None else weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w = model.value
+        w = _dense(model)
         counts, yes, totals = np.zeros(SIZE), np.zeros(SIZE), np.zeros(2)
         for batch in batches:
             if not batch.num_rows:
                 continue
             fixed = batch.column(0).to_numpy(zero_copy_only=False).astype(bool)
-            words, row, body, best, least, slot = _scored(batch.column(1), np.zeros(SIZE, np.float32) if w is None else w)
+            words, row, body, best, least, slot = _scored(batch.column(1), w)
             odds = np.where(slot, best, np.minimum(best - SURE, least - ORDINARY + SURE))
-            mass = np.where(fixed, 1.0, 0.0 if w is None else 1 / (1 + np.exp(-np.clip(odds, -30, 30))))[body]
+            mass = np.where(fixed, 1.0, 0.0 if first else 1 / (1 + np.exp(-np.clip(odds, -30, 30))))[body]
             counts += np.bincount(words, minlength=SIZE)
             yes += np.bincount(words, mass[row], SIZE)
             text = ~slot[body]
@@ -195,6 +207,7 @@ def sums(evidence: DataFrame, weights: np.ndarray | None) -> tuple[np.ndarray, n
         yield pa.RecordBatch.from_arrays([b, pa.array(np.append(counts[some], totals[0])), pa.array(np.append(yes[some], totals[1]))], names=["b", "n", "yes"])
 
     found = evidence.select("t", "f").mapInArrow(run, "b int, n double, yes double").groupBy("b").agg(F.sum("n").alias("n"), F.sum("yes").alias("yes")).toArrow()
+    model.destroy()
     counts, yes, b = np.zeros(SIZE + 1), np.zeros(SIZE + 1), found["b"].to_numpy()
     counts[b], yes[b] = found["n"].to_numpy(), found["yes"].to_numpy()  # -1 is the last
     return counts[:-1], yes[:-1], float(counts[-1]), float(yes[-1])
@@ -227,12 +240,13 @@ def learn(evidence: DataFrame, rounds: int = ROUNDS) -> np.ndarray:
 
 def decide(evidence: DataFrame, key: str, weights: np.ndarray) -> DataFrame:
     """Rows (key,) of texts with a body that has a residue passage and no ordinary one, or with a slot that is left unfilled."""
-    model = evidence.sparkSession.sparkContext.broadcast(weights.astype(np.float32))
+    model = _shared(evidence, weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        w = _dense(model)
         for batch in batches:
             if batch.num_rows:
-                _, _, _, best, least, slot = _scored(batch.column(1), model.value)
+                _, _, _, best, least, slot = _scored(batch.column(1), w)
                 yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(np.where(slot, best > SLOT, (best > SURE) & (least >= ORDINARY))))], names=[key])
 
     kind = evidence.schema[key].dataType.simpleString()
