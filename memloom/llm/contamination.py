@@ -1,12 +1,16 @@
 """Problem 7: evaluation passages inside a corpus, found through template windows.
 
 Words are canonicalised: numbers, units and names become typed placeholders. Windows of 13 canonical words (or all words of a shorter
-passage) are hashed and hash-joined between corpus and passages; the slots of a joined pair are then compared. Equal slots are a
-leaked passage; slots that differ, but consistently (each value of the passage always stands for the same other value), are a
-re-parameterised one. What a word becomes depends on the word alone, so every literal match is also a template match: none is lost.
+passage) are hashed and hash-joined between corpus and passages; the slots of a joined pair are then compared.
 
-The evaluation set is small by nature; its windows filter the corpus in the scan if there are at most WINDOWS of them, else the join
-shuffles both sides. Corpus words never leave their task unless their window's hash is one of the passages'.
+leaked           equal slots. What a word becomes depends on the lower-cased word alone here, so every literal match, in whatever
+                 typography, is also a template match: none is lost.
+reparameterised  slots that differ, but consistently (each value of the passage always stands for the same other value). Here the text's own
+                 shape gives the types, so that values count that no passage has: a number may have a decimal point or comma inside, a
+                 unit is the word after a number, a name is a capitalised word that the passages neither write small nor share often.
+
+The passages filter the corpus in the scan by two sets of bits of a fixed size (names and windows; what shares a bit with one of them only
+costs work), however many passages there are. Corpus words never leave their task unless their window has such a bit.
 
 Defined results: null passages and passages or texts without words match nothing; items that share a passage all count; repeated
 windows, rows and items give one row; texts of any length are used whole; an empty table gives an empty result.
@@ -22,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from memloom.functions.text import WORD, words
@@ -30,10 +34,8 @@ from memloom.functions.text import WORD, words
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # tasks need not have this package installed
 
 SIZE = 13
-#: Windows of passages that may be broadcast as hashes (16 bytes each).
-WINDOWS = 2_000_000
-#: Names of passages that may be broadcast; with more, names are not canonicalised.
-NAMES = 100_000
+#: Powers of two: the bits of the set of words, and of the set of windows, that is broadcast (128 kB and 2 MB).
+WORD_BITS, WINDOW_BITS = 20, 24
 # Units whose exchange does not make another text.
 UNITS = frozenset(
     "mm cm m km mg g kg t ml l ms s min h hour hours minute minutes second seconds day days week weeks month months year years "
@@ -41,39 +43,63 @@ UNITS = frozenset(
     "jour jours semaine semaines mois an ans heure heures día días semana semanas mes meses año años hora horas".split()
 )
 _BASE = 0x9E3779B97F4A7C15
+_SHAPED = r"\p{N}+(?:[.,]\p{N}+)+|" + WORD
+
+
+def _digest(word: str) -> int:
+    return int.from_bytes(blake2b(word.encode(), digest_size=8).digest(), "little")
+
 
+def _places(hashes: np.ndarray, bits: int) -> np.ndarray:
+    return (hashes * np.uint64(_BASE)) >> np.uint64(64 - bits)
 
-def names_of(items: DataFrame, passage: str, share: float = 0.05) -> list[str]:
-    """Words that the passages always capitalise and that at most this share of them holds, lower-cased; none if there are more than NAMES."""
+
+def _bit_set(df: DataFrame, column: str, bits: int) -> np.ndarray:
+    """The places of all values (strings or 64-bit hashes) as booleans; at most 2 ** bits of them meet on the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = batch.column(0)
+            hashes = np.fromiter(map(_digest, values.to_pylist()), np.uint64, len(values)) if pa.types.is_string(values.type) else values.to_numpy(zero_copy_only=False).view(np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(_places(hashes, bits)).astype(np.int32))], names=["place"])
+
+    out = np.zeros(1 << bits, bool)
+    out[df.select(column).mapInArrow(run, "place int").dropDuplicates().toArrow()["place"].to_numpy()] = True
+    return out
+
+
+def known_words(items: DataFrame, passage: str, share: float = 0.05) -> DataFrame:
+    """Rows (word, name) of the lower-cased words of the passages; a name is always capitalised and in at most this share of them."""
     texts = items.where(F.col(passage).isNotNull()).select(F.col(passage).alias("p")).dropDuplicates()
     each = texts.select(F.xxhash64("p").alias("d"), F.explode(F.array_distinct(F.regexp_extract_all("p", F.lit(WORD), F.lit(0)))).alias("w"))
-    x = each.groupBy(F.lower("w").alias("name")).agg(F.count_if(F.col("w") == F.lower("w")).alias("small"), F.count_distinct("d").alias("n"))
+    x = each.groupBy(F.lower("w").alias("word")).agg(F.count_if(F.col("w") == F.lower("w")).alias("small"), F.count_distinct("d").alias("n"))
     most = F.greatest(F.lit(2), F.ceil(F.lit(share) * texts.count()))
-    found = [r.name for r in x.where((F.col("small") == 0) & (F.col("n") <= most)).select("name").limit(NAMES + 1).collect()]
-    return sorted(found) if len(found) <= NAMES else []
+    return x.select("word", ((F.col("small") == 0) & (F.col("n") <= most)).alias("name"))
 
 
-def _kind(word: str, names: frozenset[str]) -> str:
-    """The canonical form: a typed placeholder, or the word."""
+def _kind(word: str, listed: np.ndarray, shaped: bool) -> str:
+    """The canonical form: a typed placeholder, or the word. listed has the places of names, or (shaped) of words that are none."""
     if any(c.isdigit() for c in word):
         return "\0number"
-    if word in UNITS:
+    low = word.lower()
+    if not shaped and low in UNITS:
         return "\0unit"
-    return "\0name" if word in names else word
+    known = bool(listed[int(_places(np.array([_digest(low)], np.uint64), WORD_BITS)[0])])
+    return "\0name" if (word[0].isupper() and not known if shaped else known) else low
 
 
-def template_windows(df: DataFrame, key: str, text: str, sizes: list[int], names: list[str], whole_below: int = 0, wanted: np.ndarray | None = None) -> DataFrame:
+def template_windows(df: DataFrame, key: str, text: str, sizes: list[int], listed: np.ndarray, whole_below: int = 0, wanted: np.ndarray | None = None, shaped: bool = False) -> DataFrame:
     """Rows (key, size, template, words, slots) of the windows of the given sizes; slots are the positions of placeholders.
 
-    With whole_below, a text gives its windows of that size or, if it has fewer words, one window of all of them. With wanted (sorted
-    hashes), only windows with one of these templates come out.
+    With whole_below, a text gives its windows of that size or, if it has fewer words, one window of all of them. With wanted (the bits of
+    templates), only windows with one of these bits come out.
     """
-    sc = df.sparkSession.sparkContext
-    shared = sc.broadcast((frozenset(names), wanted))
+    shared = df.sparkSession.sparkContext.broadcast((np.packbits(listed), None if wanted is None else np.packbits(wanted)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, want = shared.value
-        code: dict[str, tuple[int, bool]] = {}
+        known, want = (None if b is None else np.unpackbits(b).view(bool) for b in shared.value)
+        unit = np.uint64(_digest("\0unit"))
+        code: dict[str, tuple[int, str]] = {}
         for batch in batches:
             lists = batch.column(1)
             flat = lists.flatten()
@@ -83,14 +109,19 @@ def template_windows(df: DataFrame, key: str, text: str, sizes: list[int], names
                 code = {}
             for w in distinct:
                 if w not in code:
-                    kind = _kind(w, known)
-                    code[w] = int.from_bytes(blake2b(kind.encode(), digest_size=8).digest(), "little"), kind[0] == "\0"
+                    kind = _kind(w, known, shaped)
+                    code[w] = _digest(kind), kind if kind[0] == "\0" else ""
             which = coded.indices.to_numpy(zero_copy_only=False)
-            h = np.fromiter((code[w][0] for w in distinct), np.uint64, len(distinct))[which] if len(distinct) else np.zeros(0, np.uint64)
-            slot = np.fromiter((code[w][1] for w in distinct), bool, len(distinct))[which] if len(distinct) else np.zeros(0, bool)
+            each = lambda f, t: np.fromiter((f(code[w]) for w in distinct), t, len(distinct))[which] if len(distinct) else np.zeros(0, t)
+            h, slot = each(lambda c: c[0], np.uint64), each(lambda c: c[1] != "", bool)
             count = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
             ends = np.cumsum(count)
             row = np.repeat(np.arange(len(count)), count)
+            if shaped:  # the word after a number is its unit
+                number = each(lambda c: c[1] == "\0number", bool)
+                after = np.zeros(len(h), bool)
+                after[1:] = number[:-1] & ~number[1:] & (row[1:] == row[:-1])
+                h, slot = np.where(after, unit, h), slot | after
             todo = sorted({*sizes, *(int(c) for c in np.unique(count) if 0 < c < whole_below)})
             for size in todo:
                 last = len(h) - size + 1
@@ -104,8 +135,7 @@ def template_windows(df: DataFrame, key: str, text: str, sizes: list[int], names
                 if whole_below and size < whole_below:
                     ok &= count[row[:last]] == size
                 if want is not None:
-                    at = np.searchsorted(want, rolled)
-                    ok &= want[np.minimum(at, len(want) - 1)] == rolled if len(want) else False
+                    ok &= want[_places(rolled, WINDOW_BITS)]
                 hit = start[ok]
                 for some in np.array_split(hit, len(hit) // 20_000 + 1):  # bounded batches out
                     put = (some[:, None] + np.arange(size)).ravel()
@@ -124,19 +154,19 @@ def template_windows(df: DataFrame, key: str, text: str, sizes: list[int], names
                     )
 
     kind = df.schema[key].dataType.simpleString()
-    return df.select(F.col(key), words(F.col(text)).alias("_w")).mapInArrow(run, f"`{key}` {kind}, size int, template bigint, words array<string>, slots array<int>")
+    split = F.regexp_extract_all(F.col(text), F.lit(_SHAPED), F.lit(0)) if shaped else words(F.col(text))
+    return df.select(F.col(key), split.alias("_w")).mapInArrow(run, f"`{key}` {kind}, size int, template bigint, words array<string>, slots array<int>")
 
 
-def matches(corpus: DataFrame, key: str, text: str, items: DataFrame, item: str, passage: str, size: int = SIZE) -> DataFrame:
-    """Rows (key, passage_id, words, passage_words, slots) of all template matches; passage_id is the smallest item with the passage."""
+def matches(corpus: DataFrame, key: str, text: str, items: DataFrame, item: str, passage: str, size: int = SIZE, shaped: bool = False) -> DataFrame:
+    """Rows (key, passage_id, words, passage_words, slots, size, template) of all template matches; passage_id is the smallest item with the passage."""
     texts = items.where(F.col(passage).isNotNull()).groupBy(F.col(passage).alias("_p")).agg(F.min(item).alias("passage_id"))
-    names = names_of(items, passage)
-    theirs = template_windows(texts, "passage_id", "_p", [size], names, whole_below=size).select("passage_id", "size", "template", F.col("words").alias("passage_words"), "slots").dropDuplicates()
-    few = theirs.select("size", "template").dropDuplicates().limit(WINDOWS + 1).collect()
-    wanted = np.array(sorted({r.template & (2**64 - 1) for r in few}), np.uint64) if len(few) <= WINDOWS else None
-    sizes = sorted({r.size for r in few}) if wanted is not None else list(range(1, size + 1))
-    ours = template_windows(corpus, key, text, sizes, names, wanted=wanted).drop("slots")
-    return ours.join(theirs, ["size", "template"]).select(key, "passage_id", "words", "passage_words", "slots")
+    listed = _bit_set(known_words(items, passage).where(~F.col("name") if shaped else F.col("name")), "word", WORD_BITS)
+    theirs = template_windows(texts, "passage_id", "_p", [size], listed, whole_below=size, shaped=shaped)
+    theirs = theirs.select("passage_id", "size", "template", F.col("words").alias("passage_words"), "slots").dropDuplicates()
+    sizes = sorted(r.size for r in theirs.select("size").dropDuplicates().collect())
+    ours = template_windows(corpus, key, text, sizes, listed, wanted=_bit_set(theirs, "template", WINDOW_BITS), shaped=shaped).drop("slots")
+    return ours.join(theirs, ["size", "template"])
 
 
 def leaked(corpus: DataFrame, key: str, text: str, items: DataFrame, item: str, passage: str, size: int = SIZE) -> DataFrame:
@@ -151,15 +181,25 @@ def _by_item(found: DataFrame, items: DataFrame, item: str, passage: str) -> Dat
     return found.join(texts.drop("_p"), "passage_id").withColumn(item, F.explode("_items")).drop("_items")
 
 
-def reparameterised(corpus: DataFrame, key: str, text: str, items: DataFrame, item: str, passage: str, size: int = SIZE, literal: int = 6) -> DataFrame:
+def _reading(words: Column) -> Column:
+    """Words without case: that of a name's letters is typography."""
+    return F.transform(words, F.lower)
+
+
+def reparameterised(corpus: DataFrame, key: str, text: str, items: DataFrame, item: str, passage: str, size: int = SIZE, literal: int = 6, least: int = 8) -> DataFrame:
     """Rows (key, item, windows): texts with a passage whose numbers, units or names were exchanged, one for one.
 
-    A window counts if it keeps at least literal words as they are, if some slot differs, and if the slots map each value of the passage to
-    one value of the text and back.
+    A window fits if it keeps at least literal words as they are and if its slots map each value of the passage to one value of the text and
+    back. A passage counts if least of its windows fit, or all if it has fewer, and some slot differs in one of them.
     """
-    x = matches(corpus, key, text, items, item, passage, size).where((F.size("words") - F.size("slots") >= literal) & (F.col("words") != F.col("passage_words")))
+    x = matches(corpus, key, text, items, item, passage, size, shaped=True).where(F.size("words") - F.size("slots") >= literal)
+    x = x.withColumns({"words": _reading(F.col("words")), "passage_words": _reading(F.col("passage_words"))})
     theirs, ours = F.transform("slots", lambda i: F.get("passage_words", i)), F.transform("slots", lambda i: F.get("words", i))
     pairs = F.array_distinct(F.arrays_zip(theirs.alias("a"), ours.alias("b")))
     one_for_one = (F.size(pairs) == F.size(F.array_distinct(theirs))) & (F.size(pairs) == F.size(F.array_distinct(ours)))
-    found = x.where(one_for_one).groupBy(key, "passage_id").agg(F.count("*").alias("windows"))
+    fit = x.where(one_for_one).groupBy(key, "passage_id", "size", "template").agg(F.bool_or(F.col("words") != F.col("passage_words")).alias("other"))
+    found = fit.groupBy(key, "passage_id").agg(F.count("*").alias("windows"), F.bool_or("other").alias("_other")).where("_other")
+    long = F.coalesce(F.size(F.regexp_extract_all(F.col(passage), F.lit(_SHAPED), F.lit(0))), F.lit(0)) - size + 1
+    needed = items.where(F.col(passage).isNotNull()).groupBy(F.col(passage).alias("_p")).agg(F.min(item).alias("passage_id"), F.min(F.least(F.lit(least), F.greatest(F.lit(1), long))).alias("_needed"))
+    found = found.join(needed.drop("_p"), "passage_id").where(F.col("windows") >= F.col("_needed"))
     return _by_item(found, items, item, passage).select(key, item, "windows")

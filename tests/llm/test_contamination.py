@@ -1,9 +1,16 @@
+import os
 import random
 import re
 
+import pytest
+from pyspark.sql import functions as F
+
 from memloom.llm import contamination as co
 
 
+TABLES = "/root/testdata/sf0.01"
+
+
 def words(x):
     return re.findall(r"[^\W_]+", x.lower()) if x else []
 
@@ -40,22 +47,60 @@ def test_against_brute_force(spark):
     assert co.leaked(corpus, "doc_id", "text", evals.limit(0), "item_id", "passage").count() == 0
 
 
-def test_without_the_broadcast_filter(spark, monkeypatch):
+def test_bits_that_all_words_and_windows_share(spark, monkeypatch):
+    """Full sets of bits filter nothing and lose nothing."""
     p = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen"
     corpus = spark.createDataFrame([(1, "x " + p + " y"), (2, p[:40]), (3, "short passage here")], "doc_id bigint, text string")
     evals = spark.createDataFrame([(1, p), (2, "Short passage")], "item_id bigint, passage string")
-    monkeypatch.setattr(co, "WINDOWS", 0)
+    monkeypatch.setattr(co, "WORD_BITS", 1)
+    monkeypatch.setattr(co, "WINDOW_BITS", 1)
     assert {tuple(x) for x in co.leaked(corpus, "doc_id", "text", evals, "item_id", "passage").collect()} == {(1, 1), (3, 2)}
 
 
-def test_exchanged_numbers_and_units(spark):
-    p = "The tank of Marvin loses 12 litres in 3 hours and is refilled by 12 pumps every 3 days"
-    same = p.replace("12", "40").replace("3", "5")
-    mixed = p.replace("12 litres", "40 litres")  # 12 stands for two values
-    corpus = spark.createDataFrame([(1, same), (2, mixed), (3, p)], "doc_id bigint, text string")
-    evals = spark.createDataFrame([(1, p)], "item_id bigint, passage string")
-    got = {r.doc_id: r.windows for r in co.reparameterised(corpus, "doc_id", "text", evals, "item_id", "passage").collect()}
-    assert set(got) == {1, 2} and got[1] == 7 and got[2] < 7  # of the mixed one only windows with one of the two values
+PASSAGE = "The tank of Marvin loses 12 litres in 3 hours, and is refilled by 12 pumps of the old mill every 3 days until Anna comes home."
+EXCHANGED = {
+    "number": PASSAGE.replace("12", "40"),
+    "name": PASSAGE.replace("Marvin", "Zorbulon"),
+    "unit": PASSAGE.replace("litres", "gallons"),
+    "name and number": PASSAGE.replace("Marvin", "Zorbulon").replace("3", "5"),
+    "decimal": PASSAGE.replace("12", "4.5"),
+}
+
+
+@pytest.mark.parametrize("case", EXCHANGED)
+def test_one_exchange_alone(spark, case):
+    corpus = spark.createDataFrame([(1, f"Before. {EXCHANGED[case]} After."), (2, PASSAGE), (3, "Nothing of the old mill.")], "doc_id bigint, text string")
+    evals = spark.createDataFrame([(1, PASSAGE), (2, "Quite another text about the mill of Anna.")], "item_id bigint, passage string")
+    assert [(r.doc_id, r.item_id) for r in co.reparameterised(corpus, "doc_id", "text", evals, "item_id", "passage").collect()] == [(1, 1)]
+
+
+def test_inconsistent_exchanges_do_not_count(spark):
+    mixed = PASSAGE.replace("12 litres", "40 litres").replace("3 days", "9 days").replace("Anna", "Marvin")
+    corpus = spark.createDataFrame([(1, mixed)], "doc_id bigint, text string")
+    evals = spark.createDataFrame([(1, PASSAGE)], "item_id bigint, passage string")
+    assert co.reparameterised(corpus, "doc_id", "text", evals, "item_id", "passage").count() == 0
+
+
+@pytest.mark.skipif(not os.path.isdir(TABLES), reason="no test tables here")
+def test_planted_passages_on_the_tables(spark):
+    """Passages whose numbers, or one of whose names, are exchanged for unknown ones, between the texts of the tables."""
+    items = spark.read.parquet(f"{TABLES}/eval_items.parquet").select("item_id", "passage")
+    docs = spark.read.parquet(f"{TABLES}/documents.parquet").select("doc_id", "text")
+    r, planted = random.Random(4), []
+    for i, p in sorted(map(tuple, items.where("passage IS NOT NULL").collect())):
+        names = [w for w in re.findall(r"\w+", p)[1:] if w[0].isupper() and w.lower() not in p and w.isascii()]
+        if len(words(p)) >= 25 and names:
+            name = r.choice(names)
+            planted.append((1_000_000 + i, re.sub(rf"\b{name}\b", "Xu" + "".join(r.choice("bdgklmn") for _ in range(5)), p), i))
+    assert len(planted) > 50
+    mixed = docs.unionByName(spark.createDataFrame([x[:2] for x in planted], "doc_id bigint, text string"))
+    got = {(x.doc_id, x.item_id) for x in co.reparameterised(mixed, "doc_id", "text", items, "item_id", "passage").collect()}
+    want = {(d, i) for d, _, i in planted}
+    others = {x for x in got if x[0] >= 1_000_000} - want
+    same = {tuple(sorted(x)) for x in items.where("passage IS NOT NULL").groupBy("passage").agg(F.collect_list("item_id")).toPandas().iloc[:, 1]}
+    twins = {(d, j) for d, i in want for group in same if i in group for j in group}
+    print("recall", len(got & want) / len(want), "others of planted", len(others - twins), "rows of the tables", len({x for x in got if x[0] < 1_000_000}))
+    assert len(got & want) >= 0.9 * len(want) and len(others - twins) <= 0.1 * len(got)
 
 
 def test_items_that_share_an_exchanged_passage_all_count(spark):
