@@ -31,19 +31,23 @@ from memloom.session import cut, forget
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # tasks need not have this package installed
 
-#: Buckets of words; names of slots have as many again.
-BUCKETS = 1 << 21
+#: Buckets of words, and those of the names of slots that follow them.
+BUCKETS, NAMES = 1 << 21, 1 << 18
 #: The bucket that says that a slot has an unmistakable shape; no name has it.
-UNMISTAKABLE = 2 * BUCKETS
+UNMISTAKABLE = BUCKETS + NAMES
 SIZE = UNMISTAKABLE + 1
 #: Least score of the residue passage that a body must have, and of all its passages.
-SURE, ORDINARY = 2.0, -2.0
+SURE, ORDINARY = 4.0, -2.0
+#: How far below ORDINARY a passage still leaves its body as likely residue as not, in expectation-maximization.
+SLACK = 2.0
 #: Least score of a slot: about two unmistakable slots with its name, whatever the number of others.
 SLOT = 0.4
 #: Share of the passages, of residue and of the rest, that every word is taken to have besides its own: rare words weigh little.
 RATE = 0.0007
 #: Longest body that a phrase at its beginning makes a trusted one; longer ones are unlabelled and scored like all others.
 TRUSTED_LENGTH = 600
+#: Beliefs below this count as none.
+FAINT = 1e-4
 CLIP = 6.0
 ROUNDS = 7
 
@@ -51,7 +55,7 @@ ROUNDS = 7
 TRUSTED = (
     r"lorem ipsum", r"text goes here", r"placeholder", r"coming soon", r"todo: write", r"hier steht später", r"platzhalter", r"contenu à venir", r"texto de (relleno|ejemplo)",
     r"próximamente", r"此处填写", r"敬请期待",
-    r"(error )?404 not found", r"50\d (bad gateway|internal server error|service unavailable)", r"internal server error", r"page not found", r"access denied", r"seite nicht gefunden",
+    r"(error )?404 not found", r"http [45]\d\d\b", r"<html><head><title>\d+ error", r"we couldn't find", r"traceback \(most recent", r"50\d (bad gateway|internal server error|service unavailable)", r"internal server error", r"page not found", r"access denied", r"seite nicht gefunden",
     r"erreur \d+", r"página no encontrada", r"页面不存在",
     r"(please )?enable javascript", r"javascript is (disabled|required)", r"bitte aktivieren sie javascript", r"veuillez activer javascript", r"active javascript", r"请启用 ?javascript",
 )
@@ -78,25 +82,29 @@ _BLANK = rf"(?<![\p{{L}}\p{{M}}\p{{N}}_.-]){_NAME}?[:：]?\s*_{{4,}}"
 
 def bodies_of(text: Column) -> Column:
     """The bodies of the sections of a text: what lies between headings; the whole text if it has none."""
-    return F.filter(F.split(text, _HEADING), lambda b: b.rlike(r"[\p{L}\p{N}]"))
-
-
-def passages_of(body: Column) -> Column:
-    return F.filter(F.split(body, _PASSAGE), lambda p: p.rlike(r"[\p{L}\p{N}]"))
+    return F.split(text, _HEADING)
 
 
 def trusted_body(body: Column) -> Column:
     return (F.length(body) <= TRUSTED_LENGTH) & body.rlike(_BEGINS)
 
 
-def _bucket(token: Column, first: int = 0) -> Column:
-    return (F.pmod(F.xxhash64(token), F.lit(BUCKETS)) + first).cast("int")
+def _bucket(token: Column) -> Column:
+    return F.pmod(F.xxhash64(token), F.lit(BUCKETS)).cast("int")
+
+
+def _name_bucket(name: Column) -> Column:
+    return (F.pmod(F.xxhash64(name), F.lit(NAMES)) + BUCKETS).cast("int")
 
 
-def features_of(passage: Column) -> Column:
-    """Buckets of the distinct words without case; Han text by pairs of characters, numbers by their length."""
-    plain = F.translate(F.lower(passage), "123456789", "0" * 9)
-    return F.array_distinct(F.transform(F.regexp_extract_all(plain, F.lit(r"[\p{L}&&[^\p{IsHan}]]+|\p{IsHan}{1,2}|\p{N}+"), F.lit(0)), _bucket))
+def features_of(body: Column) -> Column:
+    """Of each passage of a body in lower case the buckets of its distinct words and of the word it begins with: Han text by pairs of characters, numbers by their length."""
+    tokens = lambda p: F.regexp_extract_all(p, F.lit(r"[\p{L}&&[^\p{IsHan}]]+|\p{IsHan}{1,2}|\p{N}+"), F.lit(0))
+    number = lambda w: (w >= "0") & (w < ":")
+    bucket = lambda w: F.when(number(w), F.length(w)).otherwise(_bucket(w))
+    begin = lambda t: F.transform(F.slice(t, 1, 1), lambda w: _bucket(F.concat(F.lit("^"), F.when(number(w), "0").otherwise(w))))
+    words = lambda t: F.array_distinct(F.concat(F.transform(t, bucket), begin(t)))
+    return F.transform(F.filter(F.transform(F.split(body, _PASSAGE), tokens), lambda t: F.size(t) > 0), words)
 
 
 def names_in(slot: Column) -> Column:
@@ -143,15 +151,15 @@ def without_code(text: Column) -> Column:
 
 def evidence(df: DataFrame, key: str, text: str) -> DataFrame:
     """Rows (key, t, f): for each body of a text, and each reading of its slots, whether it is trusted and the buckets of its passages."""
-    body = lambda b: F.struct(trusted_body(b).alias("t"), F.transform(passages_of(b), features_of).alias("f"))
-    read = lambda name, t: F.struct(F.lit(t).alias("t"), F.array(F.array(_bucket(name, BUCKETS), *([F.lit(UNMISTAKABLE)] if t else []))).alias("f"))
+    body = lambda b: F.struct(trusted_body(b).alias("t"), features_of(b).alias("f"))
+    read = lambda name, t: F.struct(F.lit(t).alias("t"), F.array(F.array(_name_bucket(name), *([F.lit(UNMISTAKABLE)] if t else []))).alias("f"))
     clear = f"(?i)^(?:{_CLEAR})$"
     name = lambda s: F.lower(F.regexp_replace(s, clear, "$1$2$3$4$5$6$7$8"))
     trusted = F.transform(F.filter("_slots", lambda s: s.rlike(clear)), name)
     others = F.array_distinct(F.flatten(F.transform(F.filter("_slots", lambda s: ~s.rlike(clear)), names_in)))
     slots = F.concat(F.transform(F.array_distinct(trusted), lambda n: read(n, True)), F.transform(F.array_except(others, trusted), lambda n: read(n, False)))
     none = F.array().cast("array<struct<t:boolean,f:array<array<int>>>>")
-    x = df.where(F.col(text).isNotNull()).select(F.col(key), without_code(F.col(text)).alias("_bare")).withColumn("_slots", slots_of(F.col("_bare")))
+    x = df.where(F.col(text).isNotNull()).select(F.col(key), without_code(F.lower(F.col(text))).alias("_bare")).withColumn("_slots", slots_of(F.col("_bare")))
     each = F.concat(F.transform(bodies_of(F.col("_bare")), body), F.when(F.col("_slots").isNotNull(), slots).otherwise(none))
     return x.select(key, F.explode(each).alias("_e")).select(key, "_e.t", "_e.f").where(F.size("f") > 0)
 
@@ -184,7 +192,8 @@ def _scored(lists: pa.Array, weights: np.ndarray) -> tuple[np.ndarray, np.ndarra
 def sums(evidence: DataFrame, weights: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, float, float]:
     """How many passages hold each bucket, the mass of residue among them, and both of all passages that are no slots.
 
-    Without weights only trusted bodies and slots are residue; with weights an unlabelled one is as far as its scores say so.
+    Without weights only trusted bodies and slots are residue; with weights an unlabelled one is as far as its scores say so, and how many
+    hold each bucket is not counted again.
     """
     first, model = weights is None, _shared(evidence, np.zeros(0) if weights is None else weights)
 
@@ -196,13 +205,16 @@ def sums(evidence: DataFrame, weights: np.ndarray | None) -> tuple[np.ndarray, n
                 continue
             fixed = batch.column(0).to_numpy(zero_copy_only=False).astype(bool)
             words, row, body, best, least, slot = _scored(batch.column(1), w)
-            odds = np.where(slot, best, np.minimum(best - SURE, least - ORDINARY + SURE))
+            odds = np.where(slot, best, np.minimum(best - SURE, least - ORDINARY + SLACK))
             mass = np.where(fixed, 1.0, 0.0 if first else 1 / (1 + np.exp(-np.clip(odds, -30, 30))))[body]
-            counts += np.bincount(words, minlength=SIZE)
-            yes += np.bincount(words, mass[row], SIZE)
+            mass[mass < FAINT] = 0.0
+            if first:
+                counts += np.bincount(words, minlength=SIZE)
+            some = mass[row] > 0
+            np.add.at(yes, words[some], mass[row][some])
             text = ~slot[body]
             totals += text.sum(), mass[text].sum()
-        some = np.flatnonzero(counts)
+        some = np.flatnonzero(counts if first else yes)
         b = pa.array(np.append(some, -1), pa.int32())
         yield pa.RecordBatch.from_arrays([b, pa.array(np.append(counts[some], totals[0])), pa.array(np.append(yes[some], totals[1]))], names=["b", "n", "yes"])
 
@@ -228,10 +240,10 @@ def weigh(counts: np.ndarray, yes: np.ndarray, n: float, mass: float) -> np.ndar
 
 def learn(evidence: DataFrame, rounds: int = ROUNDS) -> np.ndarray:
     """The weights of all buckets by expectation-maximization over all passages of the corpus."""
-    weights, taught = None, True
-    for _ in range(rounds):
-        counts, yes, n, mass = sums(evidence, weights)
-        taught = taught and (weights is not None or mass > 0)
+    counts, yes, n, mass = sums(evidence, None)
+    weights, taught = weigh(counts, yes, n, mass), mass > 0
+    for _ in range(rounds - 1):
+        _, yes, n, mass = sums(evidence, weights)
         weights = weigh(counts, yes, n, mass)
         if not taught:  # no body is trusted: nothing says what residue looks like, and no word may come to mean it by itself
             weights[:BUCKETS] = -CLIP

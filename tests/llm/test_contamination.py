@@ -75,10 +75,10 @@ def test_one_exchange_alone(spark, case):
 
 
 def test_inconsistent_exchanges_do_not_count(spark):
-    mixed = PASSAGE.replace("12 litres", "40 litres").replace("3 days", "9 days").replace("Anna", "Marvin")
-    corpus = spark.createDataFrame([(1, mixed)], "doc_id bigint, text string")
-    evals = spark.createDataFrame([(1, PASSAGE)], "item_id bigint, passage string")
-    assert co.reparameterised(corpus, "doc_id", "text", evals, "item_id", "passage").count() == 0
+    short = "We sell 12 pumps and buy 12 pipes of the old mill for Anna again"
+    corpus = spark.createDataFrame([(1, short.replace("12 pumps", "40 pumps")), (2, short.replace("12", "40"))], "doc_id bigint, text string")
+    evals = spark.createDataFrame([(1, short)], "item_id bigint, passage string")
+    assert [r.doc_id for r in co.reparameterised(corpus, "doc_id", "text", evals, "item_id", "passage").collect()] == [2]
 
 
 @pytest.mark.skipif(not os.path.isdir(TABLES), reason="no test tables here")
