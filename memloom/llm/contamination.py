@@ -190,7 +190,8 @@ def reparameterised(corpus: DataFrame, key: str, text: str, items: DataFrame, it
     """Rows (key, item, windows): texts with a passage whose numbers, units or names were exchanged, one for one.
 
     A window fits if it keeps at least literal words as they are and if its slots map each value of the passage to one value of the text and
-    back. A passage counts if least of its windows fit, or all if it has fewer, and some slot differs in one of them.
+    back. A passage counts if half of its windows fit, and no fewer than least unless it has fewer, and some slot differs in one of
+    them. Passages that differ only in their names are re-parameterised ones of each other.
     """
     x = matches(corpus, key, text, items, item, passage, size, shaped=True).where(F.size("words") - F.size("slots") >= literal)
     x = x.withColumns({"words": _reading(F.col("words")), "passage_words": _reading(F.col("passage_words"))})
@@ -200,6 +201,6 @@ def reparameterised(corpus: DataFrame, key: str, text: str, items: DataFrame, it
     fit = x.where(one_for_one).groupBy(key, "passage_id", "size", "template").agg(F.bool_or(F.col("words") != F.col("passage_words")).alias("other"))
     found = fit.groupBy(key, "passage_id").agg(F.count("*").alias("windows"), F.bool_or("other").alias("_other")).where("_other")
     long = F.coalesce(F.size(F.regexp_extract_all(F.col(passage), F.lit(_SHAPED), F.lit(0))), F.lit(0)) - size + 1
-    needed = items.where(F.col(passage).isNotNull()).groupBy(F.col(passage).alias("_p")).agg(F.min(item).alias("passage_id"), F.min(F.least(F.lit(least), F.greatest(F.lit(1), long))).alias("_needed"))
+    needed = items.where(F.col(passage).isNotNull()).groupBy(F.col(passage).alias("_p")).agg(F.min(item).alias("passage_id"), F.min(F.greatest(F.lit(1), F.least(F.lit(least), long), F.ceil(long / 2))).alias("_needed"))
     found = found.join(needed.drop("_p"), "passage_id").where(F.col("windows") >= F.col("_needed"))
     return _by_item(found, items, item, passage).select(key, item, "windows")
