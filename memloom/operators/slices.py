@@ -26,3 +26,13 @@ def running_sum(df: DataFrame, keys: list[str], value: Column, order: str, name:
     offsets = sums.select(*keys, "slice", F.coalesce(F.sum("_sum").over(over), F.lit(0)).alias("_off"))
     x = df.withColumn("_in", F.coalesce(F.sum(value).over(before), F.lit(0))).join(offsets, [*keys, "slice"])
     return x.withColumn(name, F.col("_in") + F.col("_off")).drop("_in", "_off")
+
+
+def last_across(df: DataFrame, keys: list[str], value: Column, order: str, name: str) -> DataFrame:
+    """Adds the last value that is not null of the earlier rows of the key (not this one), by slices as above."""
+    before = Window.partitionBy(*keys, "slice").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    final = df.groupBy(*keys, "slice").agg(F.max_by(value, F.when(value.isNotNull(), F.col(order))).alias("_final"))
+    over = Window.partitionBy(*keys).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = final.select(*keys, "slice", F.last("_final", ignorenulls=True).over(over).alias("_earlier"))
+    x = df.withColumn("_in", F.last(value, ignorenulls=True).over(before)).join(earlier, [*keys, "slice"])
+    return x.withColumn(name, F.coalesce("_in", "_earlier")).drop("_in", "_earlier")
