@@ -97,10 +97,14 @@ def j20_invalidation_impact(spark: SparkSession, d: str) -> DataFrame:
 def j23_diagnostics(spark: SparkSession, d: str) -> DataFrame:
     """Where the vectors of a query's label end up: retrieved, or not in the top k; per label."""
     probes = rq._probes(spark, d)
-    hits = r.vector_top(table(spark, d, "embeddings", "vec_id", "embedding"), "vec_id", "embedding", probes, "vec_id", "embedding", rq.K).select("query_id", "vec_id", F.lit(1).alias("hit"))
-    gold = probes.select(F.col("vec_id").alias("query_id"), "label").join(table(spark, d, "embeddings", "vec_id", "label"), "label")
-    x = gold.join(hits, ["query_id", "vec_id"], "left")
-    return x.groupBy("label").agg(F.count("hit").alias("retrieved"), (F.count("*") - F.count("hit")).alias("not_in_top_k"))
+    hits = r.vector_top(table(spark, d, "embeddings", "vec_id", "embedding"), "vec_id", "embedding", probes, "vec_id", "embedding", rq.K).select("query_id", "vec_id")
+    labels = table(spark, d, "embeddings", "vec_id", "label")
+    sizes = labels.groupBy("label").agg(F.count("*").alias("n"))
+    asked = probes.groupBy("label").agg(F.count("*").alias("probes"))
+    x = hits.join(labels.withColumnRenamed("label", "found"), "vec_id").join(probes.select(F.col("vec_id").alias("query_id"), "label"), "query_id").where("found = label")
+    got = x.groupBy("label").agg(F.count("*").alias("got"))
+    x = asked.join(sizes, "label").join(got, "label", "left").withColumn("retrieved", F.coalesce("got", F.lit(0).cast("bigint")))
+    return x.select("label", "retrieved", (F.col("probes") * F.col("n") - F.col("retrieved")).alias("not_in_top_k"))
 
 
 def a13_selection_funnel(spark: SparkSession, d: str) -> DataFrame:

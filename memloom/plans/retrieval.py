@@ -9,7 +9,7 @@ from memloom.functions import scoring as sc
 from memloom.functions.text import SPACES, squash
 from memloom.operators import retrieval as r
 from memloom.session import cut
-from memloom.sources.tables import spread, table
+from memloom.sources.tables import table
 
 K = 10
 COARSE = 100
@@ -17,7 +17,7 @@ KS = [1, 5, 10]
 
 
 def _docs(spark, d):
-    return spread(table(spark, d, "documents", "doc_id", "text"))
+    return table(spark, d, "documents", "doc_id", "text")
 
 
 def _asked(spark, d):
@@ -88,9 +88,13 @@ def m01_cosine_topk(spark: SparkSession, d: str) -> DataFrame:
 def _vector_metrics(spark, d):
     x = r.vector_top(table(spark, d, "embeddings", "vec_id", "embedding"), "vec_id", "embedding", _probes(spark, d), "vec_id", "embedding", K + 1)
     x = r.ranked(x.where("query_id <> vec_id").select("query_id", F.col("vec_id").alias("item"), "score"), "query_id", [F.desc("score"), F.col("item")], K)
-    all_ = table(spark, d, "embeddings", "vec_id", "label").select(F.col("vec_id").alias("item"), "label")
-    gold = _probes(spark, d).select(F.col("vec_id").alias("query_id"), "label").join(all_, "label").where("query_id <> item").select("query_id", "item")
-    return r.ranking_metrics(x, gold, KS)
+    # Relevant are the vectors with the probe's label: the size of the label says how many, the labels of the results which.
+    labels = table(spark, d, "embeddings", "vec_id", "label")
+    sizes = labels.groupBy("label").agg((F.count("*") - 1).alias("gold"))
+    probes = _probes(spark, d).select(F.col("vec_id").alias("query_id"), F.col("label").alias("_asked"))
+    x = x.join(probes, "query_id").join(labels.select(F.col("vec_id").alias("item"), "label"), "item").withColumn("hit", F.coalesce((F.col("label") == F.col("_asked")).cast("int"), F.lit(0)))
+    gold = probes.join(sizes, F.col("_asked") == F.col("label")).where("gold > 0").select("query_id", "gold")
+    return r.metrics_of_hits(x.select("query_id", "item", "rank", "hit"), gold, KS)
 
 
 def a08_ranking_metrics(spark: SparkSession, d: str) -> DataFrame:
@@ -111,7 +115,7 @@ def u05_dedup_content(spark: SparkSession, d: str) -> DataFrame:
 
 def u08_best_per_content(spark: SparkSession, d: str) -> DataFrame:
     """Per content: the longest document (ties: smallest id), how many share it, and their sources."""
-    x = spread(table(spark, d, "documents", "doc_id", "text", "source", "n_chars").where("text IS NOT NULL"))
+    x = table(spark, d, "documents", "doc_id", "text", "source", "n_chars").where("text IS NOT NULL")
     x = x.withColumn("content", F.sha2(squash(F.col("text")), 256))
     best = F.min_by("doc_id", F.struct(-F.col("n_chars"), "doc_id"))
     g = x.groupBy("content").agg(best.alias("doc_id"), F.count("*").alias("copies"), F.concat_ws(",", F.array_sort(F.collect_set("source"))).alias("sources"))

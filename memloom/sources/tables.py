@@ -9,12 +9,3 @@ def table(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFra
     """The Parquet table called name; with columns, only those (the scan reads no others)."""
     df = spark.read.parquet(f"{folder}/{name}.parquet")
     return df.select(*columns) if columns else df
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """df over all cores where a scan has fewer splits than cores (small files): the rows move once, so that costly expressions run in parallel.
-
-    A scan with enough splits, as of any large table, stays as it is.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

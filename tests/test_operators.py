@@ -120,3 +120,21 @@ def test_items_that_do_not_fit_use_nothing(spark):
 def test_chunks_put_together_are_the_text(text, most):
     parts = list(ch.pieces(text, most))
     assert "".join(p for _, p in parts) == text and all(0 < len(p) <= most for _, p in parts)
+
+
+def test_query_sets_of_many_blocks_and_matrices_of_few_cells(spark, monkeypatch):
+    """The same results whatever the sizes of blocks and matrices; ties go by key."""
+    from memloom.operators import blocks
+    from memloom.operators import retrieval as r
+
+    docs = spark.createDataFrame([(i, f"father buys {'red' if i % 3 else 'blue'} car{i % 5} and car{i % 7}") for i in range(60)] + [(60, None), (61, "")], "doc_id bigint, text string")
+    asked = spark.createDataFrame([(i, f"dad bought car{i % 6} red{'s' if i % 2 else ''}") for i in range(25)] + [(25, None), (26, "?!")], "item bigint, query string")
+    vectors = spark.createDataFrame([(i, [float(i % 7), float(i % 11), 1.0]) for i in range(80)], "v bigint, e array<float>")
+    runs = []
+    for limit, cells in ((20_000, 4_000_000), (6, 20)):
+        monkeypatch.setattr(blocks, "LIMIT", limit)
+        monkeypatch.setattr(blocks, "CELLS", cells)
+        found = [f(docs, "doc_id", "text", asked, "item", "query", 3) for f in (r.keyword_top, r.bm25_top, r.coverage_top)] + [r.vector_top(vectors, "v", "e", vectors.where("v % 3 = 0"), "v", "e", 4)]
+        runs.append([sorted(map(tuple, x.collect())) for x in found])
+    assert runs[0] == runs[1] and all(runs[0]) and len({x[0] for x in runs[0][0]}) == 25
+    assert r.keyword_top(docs, "doc_id", "text", asked.limit(0), "item", "query", 3).count() == 0
