@@ -136,13 +136,14 @@ def g04_retraction(spark: SparkSession, d: str) -> DataFrame:
 
 
 def g05_negation_conflict(spark: SparkSession, d: str) -> DataFrame:
-    """Facts whose claim another fact of the same principal and type denies: equal but for one negation."""
-    f = table(spark, d, "fact_items", "fact_id", "principal_id", "fact_type", "normalized_claim").dropDuplicates(["fact_id", "normalized_claim"])
-    word = r"\b(not|never|no)\b ?"
-    f = f.withColumn("base", F.trim(F.regexp_replace("normalized_claim", word, ""))).withColumn("negated", F.col("normalized_claim").rlike(r"\b(not|never|no)\b")).where("length(base) >= 4")
+    """Facts of which one denies the other: the same principal and type, and equal claims once the first negation of one is taken out."""
+    f = table(spark, d, "fact_items", "fact_id", "principal_id", "fact_type", "normalized_claim").dropDuplicates().where("normalized_claim IS NOT NULL")
+    without = F.trim(F.regexp_replace("normalized_claim", r"(?s)^(.*?)\b(not|never|no)\b ?", "$1"))
     keys = ["principal_id", "fact_type", "base"]
-    both = f.groupBy(*keys).agg(F.bool_or("negated").alias("y"), F.bool_or(~F.col("negated")).alias("n")).where("y AND n").select(*keys)
-    return f.join(both, keys, "left_semi").select("fact_id").dropDuplicates()
+    denials = f.where(F.col("normalized_claim").rlike(r"\b(not|never|no)\b")).select("fact_id", *keys[:2], without.alias("base"), F.lit(1).alias("denies"))
+    x = denials.unionByName(f.select("fact_id", *keys[:2], F.trim("normalized_claim").alias("base"), F.lit(0).alias("denies"))).where("length(base) >= 4")
+    both = x.groupBy(*keys).agg(F.min("denies").alias("n"), F.max("denies").alias("y")).where("y = 1 AND n = 0").select(*keys)
+    return x.join(both, keys, "left_semi").select("fact_id").dropDuplicates()
 
 
 def g07_all_sources_gone(spark: SparkSession, d: str) -> DataFrame:
@@ -203,9 +204,10 @@ def j09_graph_neighbors(spark: SparkSession, d: str) -> DataFrame:
 
 def j10_infer_relations(spark: SparkSession, d: str) -> DataFrame:
     """Edges between facts that share evidence, as stars around the smallest fact: the same claim, or the same session and type."""
-    f = table(spark, d, "fact_items", "fact_id", "session_id", "fact_type", "normalized_claim").dropDuplicates(["fact_id"])
-    keys = [F.struct(F.lit("is_same_as").alias("type"), F.when(F.trim("normalized_claim") != "", F.sha2("normalized_claim", 256)).alias("key")), F.struct(F.lit("part_of").alias("type"), F.concat_ws("|", "session_id", "fact_type").alias("key"))]
-    x = f.where("session_id IS NOT NULL").select("fact_id", F.explode(F.array(*keys)).alias("k")).select("fact_id", "k.*").where("key IS NOT NULL")
+    f = table(spark, d, "fact_items", "fact_id", "session_id", "fact_type", "normalized_claim").dropDuplicates()
+    part = F.when(F.col("session_id").isNotNull() & F.col("fact_type").isNotNull(), F.concat_ws("|", "session_id", "fact_type"))
+    keys = [F.struct(F.lit("is_same_as").alias("type"), F.when(F.trim("normalized_claim") != "", F.sha2("normalized_claim", 256)).alias("key")), F.struct(F.lit("part_of").alias("type"), part.alias("key"))]
+    x = f.select("fact_id", F.explode(F.array(*keys)).alias("k")).select("fact_id", "k.*").where("key IS NOT NULL").dropDuplicates()
     hub = x.groupBy("type", "key").agg(F.min("fact_id").alias("from_id"))
     return x.join(hub, ["type", "key"]).where("fact_id <> from_id").select("from_id", F.col("fact_id").alias("to_id"), "type")
 
@@ -320,8 +322,9 @@ SELECT * FROM (SELECT *, lag(revision) OVER (PARTITION BY session_id, message_id
  FROM {_LAST} WHERE sequence IS NOT NULL AND operation <> 'delete') SELECT session_id, group_no, min(sequence) AS first, max(sequence) AS last, count(*) AS messages FROM g GROUP BY 1, 2""",
     "g04_retraction": f"""SELECT fact_id, version + 1 AS version, 'superseded' AS status FROM (SELECT DISTINCT fact_id, session_id, version, status FROM fact_items)
 WHERE status = 'active' AND session_id IN (SELECT session_id FROM {_LAST} WHERE operation IN ('delete', 'replace'))""",
-    "g05_negation_conflict": r"""WITH f AS (SELECT fact_id, principal_id, fact_type, trim(regexp_replace(normalized_claim, '\b(not|never|no)\b ?', '', 'g')) AS base, regexp_matches(normalized_claim, '\b(not|never|no)\b') AS neg FROM fact_items)
-SELECT DISTINCT a.fact_id FROM f a WHERE length(a.base) >= 4 AND EXISTS (SELECT 1 FROM f b WHERE b.principal_id = a.principal_id AND b.fact_type = a.fact_type AND b.base = a.base AND b.neg <> a.neg)""",
+    "g05_negation_conflict": r"""WITH f AS (SELECT DISTINCT fact_id, principal_id, fact_type, normalized_claim AS c FROM fact_items WHERE normalized_claim IS NOT NULL),
+x AS (SELECT fact_id, principal_id, fact_type, trim(regexp_replace(c, '\b(not|never|no)\b ?', '')) AS base, 1 AS denies FROM f WHERE regexp_matches(c, '\b(not|never|no)\b') UNION ALL SELECT fact_id, principal_id, fact_type, trim(c), 0 FROM f),
+b AS (SELECT principal_id, fact_type, base FROM x WHERE length(base) >= 4 GROUP BY ALL HAVING min(denies) = 0 AND max(denies) = 1) SELECT DISTINCT fact_id FROM x JOIN b USING (principal_id, fact_type, base)""",
     "g07_all_sources_gone": """WITH f AS (SELECT fact_id, arg_max(status, (version, status)) AS status FROM fact_items GROUP BY 1), r AS (SELECT relation_id, unnest(list_distinct(source_fact_ids)) AS fact_id FROM fusion_relations)
 SELECT relation_id, count(*) AS facts FROM r JOIN f USING (fact_id) GROUP BY 1 HAVING bool_and(status IN ('superseded', 'rejected'))""",
     "j05_scope_lineage": "SELECT session_id, count(DISTINCT f.fact_id) AS facts, count(DISTINCT entity_id) AS entities FROM fact_items f JOIN timeline_facts t USING (fact_id) WHERE session_id IS NOT NULL GROUP BY 1",
@@ -334,7 +337,7 @@ UNION ALL SELECT 'timeline', count(*) FROM timeline_facts WHERE fact_id IN (FROM
 e AS (SELECT relation_id, round(wt * coalesce(fa, 0.7::DOUBLE) * 0.5::DOUBLE, 6) AS score, unnest(list_distinct(source_fact_ids)) AS fact_id FROM fusion_relations JOIN w ON ty = lower(trim(type)) LEFT JOIN c ON cl = confidence_level),
 k AS (SELECT * FROM e WHERE fact_id IN (SELECT fact_id FROM fact_items)), b AS (SELECT s.fact_id AS seed_id, o.fact_id, max(o.score) AS score FROM k s JOIN k o USING (relation_id) WHERE {_NUM.format("s.fact_id")} % 100 = 0 AND s.fact_id <> o.fact_id GROUP BY 1, 2)
 SELECT *, row_number() OVER (PARTITION BY seed_id ORDER BY score DESC, fact_id)::INT AS rank FROM b QUALIFY rank <= 20""",
-    "j10_infer_relations": """WITH f AS (SELECT DISTINCT fact_id, session_id, fact_type, normalized_claim FROM fact_items WHERE session_id IS NOT NULL), x AS (SELECT fact_id, 'is_same_as' AS type, normalized_claim AS key FROM f WHERE trim(normalized_claim) <> '' UNION ALL SELECT fact_id, 'part_of', session_id || '|' || fact_type FROM f)
+    "j10_infer_relations": """WITH f AS (SELECT DISTINCT fact_id, session_id, fact_type, normalized_claim FROM fact_items), x AS (SELECT DISTINCT fact_id, 'is_same_as' AS type, normalized_claim AS key FROM f WHERE trim(normalized_claim) <> '' UNION SELECT fact_id, 'part_of', session_id || '|' || fact_type FROM f WHERE session_id IS NOT NULL AND fact_type IS NOT NULL)
 SELECT * FROM (SELECT min(fact_id) OVER (PARTITION BY type, key) AS from_id, fact_id AS to_id, type FROM x) WHERE from_id <> to_id""",
     "j11_known_edges": "SELECT relation_id, source_fact_ids[1] AS a, source_fact_ids[2] AS b FROM fusion_relations WHERE len(source_fact_ids) = 2 AND source_fact_ids[1] IN (SELECT fact_id FROM fact_items) AND source_fact_ids[2] IN (SELECT fact_id FROM fact_items)",
     "l05_keyset_page": """WITH p AS (SELECT DISTINCT fact_id, status FROM fact_items WHERE (status, fact_id) > ('active', 'fact_0000000500') ORDER BY status, fact_id LIMIT 51)

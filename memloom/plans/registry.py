@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from memloom.plans import analysis, lineage, memory, problems, retrieval, streams, texts
+from memloom.plans import analysis, lineage, memory, problems, records, retrieval, streams, texts
 
-MODULES = (problems, retrieval, memory, texts, analysis, lineage, streams)
+MODULES = (problems, retrieval, memory, texts, analysis, lineage, records, streams)
 FLAGSHIP = "m06_hybrid_final"
 
 

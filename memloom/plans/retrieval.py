@@ -62,7 +62,7 @@ def m06_hybrid_final(spark: SparkSession, d: str) -> DataFrame:
     asked = _asked(spark, d).select(F.col("item_id").alias("query_id"), F.array_distinct(sc.tokens(F.col("query"))).alias("_q"))
     ids = fused.select("doc_id").dropDuplicates()
     found = docs.join(ids, "doc_id", "left_semi").select("doc_id", "created_at", r.content_key(F.col("text"), F.col("doc_id")).alias("_content"), F.array_distinct(sc.tokens(F.col("text"))).alias("_t"))
-    x = fused.join(found, "doc_id").join(F.broadcast(asked), "query_id")
+    x = fused.join(found, "doc_id").join(asked, "query_id")
     overlap = F.least(F.lit(1.0), F.lit(0.3) + F.lit(0.7) * F.size(F.array_intersect("_q", "_t")) / F.size("_q"))
     age = F.lit(AS_OF_S) - F.unix_micros("created_at") / 1e6
     x = x.withColumn("score", sc.final_score({"keyword": F.coalesce("keyword", F.lit(0.0)), "recency": sc.recency(age), "diversity": overlap, "rrf": F.col("rrf"), "staleness": sc.staleness(age)}))
@@ -76,7 +76,7 @@ AS_OF_S = 1_767_225_600  # 2026-01-01: scores take their present time as a param
 
 def u03_shadow_diff(spark: SparkSession, d: str) -> DataFrame:
     """What the BM25 ranking adds to and takes from the keyword ranking."""
-    a, b = _keyword(spark, d, K).select("query_id", "doc_id"), _bm25(spark, d, K).select("query_id", "doc_id")
+    a, b = cut(_keyword(spark, d, K).select("query_id", "doc_id")), cut(_bm25(spark, d, K).select("query_id", "doc_id"))
     return b.exceptAll(a).withColumn("change", F.lit("added")).unionByName(a.exceptAll(b).withColumn("change", F.lit("removed")))
 
 

@@ -111,7 +111,7 @@ def w07_budget_select(spark: SparkSession, d: str) -> DataFrame:
     """The BM25 ranking of each query packed into a budget of tokens."""
     ranked = r._bm25(spark, d, r.COARSE)
     ranked = cut(ranked)
-    cost = _docs(spark, d).join(F.broadcast(ranked.select("doc_id").dropDuplicates()), "doc_id", "left_semi").select("doc_id", sc.token_estimate(F.col("text")).alias("cost"))
+    cost = _docs(spark, d).join(ranked.select("doc_id").dropDuplicates(), "doc_id", "left_semi").select("doc_id", sc.token_estimate(F.col("text")).alias("cost"))
     x = select_within_budget(ranked.join(cost, "doc_id"), "query_id", "rank", "doc_id", "cost", BUDGET, r.COARSE)
     return x.select("query_id", F.col("item").alias("doc_id"), "used")
 

@@ -138,3 +138,13 @@ def test_query_sets_of_many_blocks_and_matrices_of_few_cells(spark, monkeypatch)
         runs.append([sorted(map(tuple, x.collect())) for x in found])
     assert runs[0] == runs[1] and all(runs[0]) and len({x[0] for x in runs[0][0]}) == 25
     assert r.keyword_top(docs, "doc_id", "text", asked.limit(0), "item", "query", 3).count() == 0
+
+
+def test_page_cursors_go_round_and_scope_is_optional(spark):
+    from memloom.plans import records as rec
+
+    df = spark.createDataFrame([("a", 3, "t", "active"), ("ü|", None, "t", "rejected"), (None, 1, "u", None)], "id string, n int, tenant_id string, status string")
+    x = df.withColumn("c", rec.encode_cursor(id=F.col("id"), n=F.col("n"))).withColumn("p", rec.decode_cursor(F.col("c"), "id string, n int"))
+    assert all((r.p.id, r.p.n) == (r.id, r.n) for r in x.collect())
+    assert df.select(rec.decode_cursor(F.lit("no cursor!"), "id string").alias("p")).first().p is None
+    assert [rec.owner_scope(df, *a, inactive=b).count() for a, b in (((), False), ((), True), (("t",), True), (("t",), False))] == [1, 3, 2, 1]
