@@ -234,6 +234,7 @@ def weigh(counts: np.ndarray, yes: np.ndarray, n: float, mass: float) -> np.ndar
     no = np.maximum(counts - yes, 0)
     words = np.log((yes / max(mass, 1.0) + RATE) / (no / max(n - mass, 1.0) + RATE))
     names = np.log((yes + 0.1) / (no + 1.0))
+    names[UNMISTAKABLE] = np.log((yes[UNMISTAKABLE] + 0.1) / (no[UNMISTAKABLE] + 0.1))  # a single one is enough
     weights = np.clip(np.concatenate((words[:BUCKETS], names[BUCKETS:])), -CLIP, CLIP)
     return np.where(counts > 0, weights, 0.0)
 
