@@ -41,7 +41,8 @@ def estimated(spark: SparkSession, d: str, times: DataFrame) -> DataFrame:
 
     The order of a session's messages bounds them too: one that was stored late was written before the next message that names its instant.
     """
-    times = cut(times)  # read for the range, the stretches, the votes and the instants
+    # Rows without a zone, and of messages those that name their instant: read for the range, the stretches, the votes and the instants.
+    times = cut(times.where("status = 'no_zone' OR (NOT moves AND sequence IS NOT NULL AND how IN ('number', 'text'))"))
     r = times.agg(F.min("written.local_us").alias("a"), F.max("written.local_us").alias("b")).first()
     zones = [table(spark, d, t, c).groupBy(F.col(c).alias("zone")).agg(F.count("*").alias("n")) for t, c in (("memory_events", "source_timezone"), ("conversation_sessions", "timezone"))]
     histories = cut(ts.zone_histories(spark, r.a or 0, r.b or 0, zones[0].unionByName(zones[1])))
