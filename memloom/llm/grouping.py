@@ -38,7 +38,7 @@ def components(pairs: DataFrame, a: str, b: str) -> DataFrame:
     members = cut(edges.select(F.explode(F.array("a", "b")).alias("vertex")).dropDuplicates().withColumn("component", F.col("vertex")))
     while not edges.isEmpty():
         ends = edges.select(F.explode(F.array(F.struct(F.col("a").alias("x"), F.col("b").alias("y")), F.struct(F.col("b").alias("x"), F.col("a").alias("y")))).alias("e"), "a", "b")
-        pick = cut(ends.groupBy(F.col("e.x").alias("x")).agg(F.min(F.struct("a", "b", F.col("e.y").alias("y"))).alias("m")).select("x", F.col("m.y").alias("p")))
+        pick = ends.groupBy(F.col("e.x").alias("x")).agg(F.min(F.struct("a", "b", F.col("e.y").alias("y"))).alias("m")).select("x", F.col("m.y").alias("p"))  # both sides of the join share its shuffle
         back = pick.select(F.col("x").alias("p"), F.col("p").alias("back"))
         rooted = cut(pick.join(back, "p").select("x", F.when((F.col("back") == F.col("x")) & (F.col("x") < F.col("p")), F.col("x")).otherwise(F.col("p")).alias("p")))
         roots = _collapse(rooted)
@@ -46,7 +46,7 @@ def components(pairs: DataFrame, a: str, b: str) -> DataFrame:
         moved = cut(members.join(to, "component", "left").select("vertex", F.coalesce("_to", "component").alias("component")))
         left, right = roots.select(F.col("x").alias("a"), F.col("p").alias("_a")), roots.select(F.col("x").alias("b"), F.col("p").alias("_b"))
         fewer = cut(_ordered(edges.join(left, "a").join(right, "b"), "_a", "_b"))
-        forget(pick, roots, members, edges)
+        forget(roots, members, edges)
         members, edges = moved, fewer
     forget(edges)
     return members
