@@ -12,6 +12,9 @@ order two are shared; the smaller one needs only its |s| - ceil(2t / (1 + t) |s|
 counts of word buckets, of a fixed number). A shared word that at most RARE classes hold is a key by itself, two others are one together.
 Sets of more than LONG words take single words only, so that keys grow with the length and not with its square; near that length both.
 
+Joins. Tables of classes, groups and records grow with the input, and Spark would broadcast them by the size of their files, which is a small part of
+what they take in memory where texts repeat. So all joins are merge joins, of which no side goes through the driver.
+
 Defined results: a null text and one without words have no class and no pair; repeated rows change nothing; ties do not matter as no
 candidate is capped; an empty table gives empty results; extra columns are ignored.
 """
@@ -59,6 +62,11 @@ def _counts(rows: DataFrame) -> np.ndarray:
     return out
 
 
+def _large(df: DataFrame) -> DataFrame:
+    """A side of a join that is never broadcast."""
+    return df.hint("merge")
+
+
 def _need(size: Column, threshold: float) -> Column:
     """The fewest words of a set of this size that a similar set of its size or smaller shares."""
     return F.ceil(F.round(size * threshold, 9)).cast("int")
@@ -145,14 +153,14 @@ def tried_groups(members: DataFrame, threshold: float) -> DataFrame:
     """Rows (q_grp, q_at, grp): the groups that a class shares a key with, the class as the larger one."""
     columns = _keys(members, threshold, False).groupBy("key", "grp").agg(F.min("size").alias("_least"))
     asked = _keys(members, threshold, True).select("key", F.col("grp").alias("q_grp"), F.col("at").alias("q_at"), "size")
-    return asked.join(columns, "key").where("_least <= size").select("q_grp", "q_at", "grp").dropDuplicates()
+    return asked.join(_large(columns), "key").where("_least <= size").select("q_grp", "q_at", "grp").dropDuplicates()
 
 
 def qualifying_groups(tried: DataFrame, members: DataFrame, threshold: float) -> DataFrame:
     """Rows (q, q_tokens, in_group) of the tried groups whose union holds enough of the class's tokens."""
     groups = members.groupBy("grp").agg(F.collect_list(F.struct("cls", "tokens")).alias("in_group"), F.array_distinct(F.flatten(F.collect_list("tokens"))).alias("union"))
     asked = members.select(F.col("grp").alias("q_grp"), F.col("at").alias("q_at"), F.col("cls").alias("q"), F.col("tokens").alias("q_tokens"))
-    x = tried.join(asked, ["q_grp", "q_at"]).join(groups, "grp")
+    x = tried.join(_large(asked), ["q_grp", "q_at"]).join(_large(groups), "grp")
     return x.where(F.size(F.array_intersect("q_tokens", "union")) >= _need(F.size("q_tokens"), threshold)).select("q", "q_tokens", "in_group")
 
 
@@ -179,8 +187,9 @@ def _compared(df: DataFrame, key: str, fields: list[str], threshold: float) -> t
 def similar_records(df: DataFrame, key: str, fields: list[str], threshold: float) -> DataFrame:
     """Rows (a, b), a < b: different records that are similar in one of the fields."""
     members, pairs = _compared(df, key, fields, threshold)
-    across = pairs.join(members.select(F.col("cls").alias("a"), F.col("record").alias("x")), "a").join(members.select(F.col("cls").alias("b"), F.col("record").alias("y")), "b").select("x", "y")
-    within = members.withColumnRenamed("record", "x").join(members.withColumnRenamed("record", "y"), "cls").where("x < y").select("x", "y")
+    left, right = members.select(F.col("cls").alias("a"), F.col("record").alias("x")), members.select(F.col("cls").alias("b"), F.col("record").alias("y"))
+    across = pairs.join(_large(left), "a").join(_large(right), "b").select("x", "y")
+    within = members.withColumnRenamed("record", "x").join(_large(members.withColumnRenamed("record", "y")), "cls").where("x < y").select("x", "y")
     both = across.where("x != y").unionByName(within)
     return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).dropDuplicates()
 
@@ -193,9 +202,10 @@ def linked_records(df: DataFrame, key: str, fields: list[str], threshold: float)
     """
     members, pairs = _compared(df, key, fields, threshold)
     size = members.groupBy("cls").agg(F.count("*").alias("n"), F.min("record").alias("least"))
-    star = members.join(size.where("n > 1"), "cls").where("record != least").select(F.col("least").alias("a"), F.col("record").alias("b"))
-    ends = pairs.join(size.select(F.col("cls").alias("a"), F.col("n").alias("a_n"), F.col("least").alias("x")), "a").join(size.select(F.col("cls").alias("b"), F.col("n").alias("b_n"), F.col("least").alias("y")), "b")
+    star = members.join(_large(size.where("n > 1")), "cls").where("record != least").select(F.col("least").alias("a"), F.col("record").alias("b"))
+    left, right = size.select(F.col("cls").alias("a"), F.col("n").alias("a_n"), F.col("least").alias("x")), size.select(F.col("cls").alias("b"), F.col("n").alias("b_n"), F.col("least").alias("y"))
+    ends = pairs.join(_large(left), "a").join(_large(right), "b")
     near = ends.select(F.explode(F.array(F.struct(F.col("a").alias("cls"), F.col("b_n").alias("n")), F.struct(F.col("b").alias("cls"), F.col("a_n").alias("n")))).alias("e"))
     more = size.select("cls", (F.col("n") - 1).alias("n")).unionByName(near.select("e.cls", "e.n")).groupBy("cls").agg(F.sum("n").alias("links"))
-    links = members.join(more, "cls").groupBy("record").agg(F.sum("links").alias("links")).where("links > 0")
+    links = members.join(_large(more), "cls").groupBy("record").agg(F.sum("links").alias("links")).where("links > 0")
     return star.unionByName(ends.select(F.col("x").alias("a"), F.col("y").alias("b"))).where("a != b").dropDuplicates(), links

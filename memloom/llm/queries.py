@@ -21,7 +21,7 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 def p2_groups(spark: SparkSession, d: str) -> DataFrame:
     """One row for each fact that has a near-duplicate, with its group (facts joined directly or through others) and its number of links by field."""
     edges, links = near_duplicates.linked_records(table(spark, d, "fact_items", "fact_id", *FIELDS), "fact_id", FIELDS, SIMILAR)
-    x = grouping.groups(edges, "a", "b").join(links, F.col("vertex") == F.col("record"))
+    x = grouping.groups(edges, "a", "b").join(links.hint("merge"), F.col("vertex") == F.col("record"))
     return x.select(F.col("vertex").alias("fact_id"), "group_id", "links")
 
 

@@ -69,3 +69,15 @@ def test_long_texts_copies_and_empty_table(spark):
     df = spark.createDataFrame(rows, "id string, t string, c string")
     assert [tuple(r) for r in nd.similar_records(df, "id", ["t", "c"], 0.75).collect()] == [("a", "b")]
     assert nd.similar_records(df.limit(0), "id", ["t", "c"], 0.75).count() == 0
+
+
+def test_no_table_of_classes_or_records_is_broadcast(spark):
+    """Their files can be far smaller than what they take in the driver's memory."""
+    rows = [(f"c{i:02}", "one two three four", None) for i in range(12)] + [("d", "one two three four five", None), ("e", "other words", "x y"), ("f", None, "x y")]
+    df = spark.createDataFrame(rows, "id string, t string, c string")
+    kept = nd.classes(df, "id", ["t", "c"])
+    sets = nd.cut(nd.matrix(kept.select("cls", "tokens").dropDuplicates(["cls"]), nd._counts(kept)))
+    for x in (nd.similar_classes(sets, 0.75), nd.similar_records(df, "id", ["t", "c"], 0.75), *nd.linked_records(df, "id", ["t", "c"], 0.75)):
+        x.collect()
+        plan = x._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
