@@ -61,7 +61,10 @@ TRUSTED = (
 )
 _BEGINS = r"(?iU)^\s*(?:" + "|".join(TRUSTED) + ")"
 _HEADING = r"(?m)^(?:#{1,6}[ \t]+.*|==+[ \t]*\S.*|<[hH][1-6]>[^<\r\n]*(?:</[hH][1-6]>)?[ \t]*)$"
-_PASSAGE = r"(?<=[.!?])\s+|[\r\n]+|(?<=[。！？])"
+# Begins with one class of characters, which most fail at once. The marks that it takes off a passage belong to no word; passages without words are dropped.
+_PASSAGE = r"[.!?\r\n。！？](?:(?<=[\r\n。！？])|\s+)"
+# Words without Han, pairs of Han, numbers. No Han character comes before 2E80; the script of a character is dear to look up, so plain letters are tried first.
+_TOKEN = r"[a-z[\p{L}&&[\x{0}-\x{2E7F}[^\p{IsHan}]]]]+|[\x{2E80}-\x{10FFFF}&&\p{IsHan}]{1,2}|\p{N}+"
 _CODE = r"(?ms)```(?!context-session).*?(?:```|\z)|^~~~.*?(?:^~~~|\z)|`[^`\n]+`|^(?: {4}|\t)[^\n]*$"
 _NAME = r"\p{L}[\p{L}\p{M}\p{N}_.-]{0,80}"
 _CLEAR = (
@@ -99,8 +102,8 @@ def _name_bucket(name: Column) -> Column:
 
 def features_of(body: Column) -> Column:
     """Of each passage of a body in lower case the buckets of its distinct words and of the word it begins with: Han text by pairs of characters, numbers by their length."""
-    tokens = lambda p: F.regexp_extract_all(p, F.lit(r"[\p{L}&&[^\p{IsHan}]]+|\p{IsHan}{1,2}|\p{N}+"), F.lit(0))
-    number = lambda w: (w >= "0") & (w < ":")
+    tokens = lambda p: F.regexp_extract_all(p, F.lit(_TOKEN), F.lit(0))
+    number = lambda w: w < ":"  # no token begins with a character before 0
     bucket = lambda w: F.when(number(w), F.length(w)).otherwise(_bucket(w))
     begin = lambda t: F.transform(F.slice(t, 1, 1), lambda w: _bucket(F.concat(F.lit("^"), F.when(number(w), "0").otherwise(w))))
     words = lambda t: F.array_distinct(F.concat(F.transform(t, bucket), begin(t)))

@@ -102,3 +102,14 @@ def test_many_names_and_names_of_any_script(spark):
     slots = ["Dear [name7x], hi.", "Dear %name1099x%, hi.", "By <name500x>.", "Für [first-name] da.", "【请填写姓名】", "[请填写姓名]", "姓名：____", "{姓名:先生}", "[see %name9x% now]", "__name8x__", "To &LT;NAME3X&GT;."]
     fine = ["See [größe] there.", "A [name] of {name7xyz}.", "【姓】", "first-nameless ____"]
     assert sorted(set(found(spark, many + clear + slots + fine))) == sorted({*many, *clear, *slots})
+
+
+def test_passages_and_words_are_those_of_plain_patterns(spark, monkeypatch):
+    """The faster patterns give the features of the plain ones."""
+    texts = ["a.\n\nb! c", "今天。\n明天！后天?  x.y", "wait...  what?! 12 ½ ²x ⅷ", "…\r\n. ", "größe 姓名ab,々〆〇 ⺀⻳ かなカナ 한글", "é́x_y a1b2 ：１２", "a.。b？c! d.\x0b\x85e", "𠀀𠀁𠀂 ǆ ㍿㊀", "。。a", ""]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select(F.lower("t").alias("t"))
+    fast = [r.f for r in df.select(rs.features_of(F.col("t")).alias("f")).collect()]
+    monkeypatch.setattr(rs, "_PASSAGE", r"(?<=[.!?])\s+|[\r\n]+|(?<=[。！？])")
+    monkeypatch.setattr(rs, "_TOKEN", r"[\p{L}&&[^\p{IsHan}]]+|\p{IsHan}{1,2}|\p{N}+")
+    assert fast == [r.f for r in df.select(rs.features_of(F.col("t")).alias("f")).collect()]
+    assert [len(f) for f in fast[:2]] == [3, 4]
