@@ -65,6 +65,8 @@ _HEADING = r"(?m)^(?:#{1,6}[ \t]+.*|==+[ \t]*\S.*|<[hH][1-6]>[^<\r\n]*(?:</[hH][
 _PASSAGE = r"[.!?\r\n。！？](?:(?<=[\r\n。！？])|\s+)"
 # Words without Han, pairs of Han, numbers. No Han character comes before 2E80; the script of a character is dear to look up, so plain letters are tried first.
 _TOKEN = r"[a-z[\p{L}&&[\x{0}-\x{2E7F}[^\p{IsHan}]]]]+|[\x{2E80}-\x{10FFFF}&&\p{IsHan}]{1,2}|\p{N}+"
+# The same for texts of ASCII characters alone, whose classes are looked up in one table.
+_ASCII_PASSAGE, _ASCII_TOKEN = r"[.!?\r\n](?:(?<=[\r\n])|\s+)", r"[a-zA-Z]+|[0-9]+"
 _CODE = r"(?ms)```(?!context-session).*?(?:```|\z)|^~~~.*?(?:^~~~|\z)|`[^`\n]+`|^(?: {4}|\t)[^\n]*$"
 _NAME = r"\p{L}[\p{L}\p{M}\p{N}_.-]{0,80}"
 _CLEAR = (
@@ -93,7 +95,7 @@ def trusted_body(body: Column) -> Column:
 
 
 def _bucket(token: Column) -> Column:
-    return F.pmod(F.xxhash64(token), F.lit(BUCKETS)).cast("int")
+    return F.xxhash64(token).bitwiseAND(F.lit(BUCKETS - 1)).cast("int")  # BUCKETS is a power of 2
 
 
 def _name_bucket(name: Column) -> Column:
@@ -102,12 +104,14 @@ def _name_bucket(name: Column) -> Column:
 
 def features_of(body: Column) -> Column:
     """Of each passage of a body in lower case the buckets of its distinct words and of the word it begins with: Han text by pairs of characters, numbers by their length."""
-    tokens = lambda p: F.regexp_extract_all(p, F.lit(_TOKEN), F.lit(0))
+    ascii_ = lambda x: F.octet_length(x) == F.length(x)
+    passages = F.when(ascii_(body), F.split(body, _ASCII_PASSAGE)).otherwise(F.split(body, _PASSAGE))
+    tokens = lambda p: F.when(ascii_(p), F.regexp_extract_all(p, F.lit(_ASCII_TOKEN), F.lit(0))).otherwise(F.regexp_extract_all(p, F.lit(_TOKEN), F.lit(0)))
     number = lambda w: w < ":"  # no token begins with a character before 0
     bucket = lambda w: F.when(number(w), F.length(w)).otherwise(_bucket(w))
     begin = lambda t: F.transform(F.slice(t, 1, 1), lambda w: _bucket(F.concat(F.lit("^"), F.when(number(w), "0").otherwise(w))))
     words = lambda t: F.array_distinct(F.concat(F.transform(t, bucket), begin(t)))
-    return F.transform(F.filter(F.transform(F.split(body, _PASSAGE), tokens), lambda t: F.size(t) > 0), words)
+    return F.transform(F.filter(F.transform(passages, tokens), lambda t: F.size(t) > 0), words)
 
 
 def names_in(slot: Column) -> Column:
@@ -162,7 +166,8 @@ def evidence(df: DataFrame, key: str, text: str) -> DataFrame:
     others = F.array_distinct(F.flatten(F.transform(F.filter("_slots", lambda s: ~s.rlike(clear)), names_in)))
     slots = F.concat(F.transform(F.array_distinct(trusted), lambda n: read(n, True)), F.transform(F.array_except(others, trusted), lambda n: read(n, False)))
     none = F.array().cast("array<struct<t:boolean,f:array<array<int>>>>")
-    x = df.where(F.col(text).isNotNull()).select(F.col(key), without_code(F.lower(F.col(text))).alias("_bare")).withColumn("_slots", slots_of(F.col("_bare")))
+    x = df.where(F.col(text).isNotNull()).select(F.col(key), F.lower(F.col(text)).alias("_low"))  # a column first: without_code names it five times
+    x = x.select(key, without_code(F.col("_low")).alias("_bare")).withColumn("_slots", slots_of(F.col("_bare")))
     each = F.concat(F.transform(bodies_of(F.col("_bare")), body), F.when(F.col("_slots").isNotNull(), slots).otherwise(none))
     return x.select(key, F.explode(each).alias("_e")).select(key, "_e.t", "_e.f").where(F.size("f") > 0)
 

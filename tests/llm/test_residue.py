@@ -113,3 +113,14 @@ def test_passages_and_words_are_those_of_plain_patterns(spark, monkeypatch):
     monkeypatch.setattr(rs, "_TOKEN", r"[\p{L}&&[^\p{IsHan}]]+|\p{IsHan}{1,2}|\p{N}+")
     assert fast == [r.f for r in df.select(rs.features_of(F.col("t")).alias("f")).collect()]
     assert [len(f) for f in fast[:2]] == [3, 4]
+
+
+def test_ascii_passages_and_words_are_those_of_the_general_patterns(spark, monkeypatch):
+    every = "".join(map(chr, range(128)))
+    texts = [every, " ".join(every), "1".join(every), "a".join(every), "a. b!  c?d.e\r\n\r\nF 12b3..", "x.\x0b\x1cy", "ascii here. größe there! 12 and 今天。ok. last", ""]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    fast = [r.f for r in df.select(rs.features_of(F.col("t")).alias("f")).collect()]
+    monkeypatch.setattr(rs, "_ASCII_PASSAGE", rs._PASSAGE)
+    monkeypatch.setattr(rs, "_ASCII_TOKEN", rs._TOKEN)
+    assert fast == [r.f for r in df.select(rs.features_of(F.col("t")).alias("f")).collect()]
+    assert len(fast[4]) == 4 and fast[7] == []
